@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import encoded
 from tessera.llm.fingerprints import fingerprints_against_next
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.quality import quality
@@ -57,3 +58,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash fingerprints of every text and its edited text, and their likeness."""
     return fingerprints_against_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every text and the text decoded from them, as digests."""
+    import public_tokenizers
+
+    found = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+    return found.withColumnRenamed("id", "doc_id")
