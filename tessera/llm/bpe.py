@@ -29,7 +29,7 @@ from tessera.llm import kernels as K
 #: How byte-level BPE splits a text before merging (fixed value of the public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as the pattern means it: Unicode's White_Space, without the separators 0x1C to 0x1F.
-_SPACE = r"[\t-\r \u0085   -     　]"
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Words that a task remembers at most, and pairs of tokens.
 CACHE_WORDS, CACHE_PAIRS = 400_000, 1_000_000
 

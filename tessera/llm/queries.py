@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import toxicity
 from tessera.llm.bpe import encoded
+from tessera.llm.chat import conversation_digests
 from tessera.llm.fingerprints import fingerprints_against_next
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.quality import quality
+from tessera.llm.secret_scan import scan_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,3 +70,44 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern and novelty spans of every text."""
+    return scan_secrets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text; learned from labelled rows whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("id").cast("string")) % 5
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    found = toxicity.scored(docs.select(F.col("doc_id").alias("id"), "text"), model).select("id", F.col("toxicity").alias("score"))
+    held = F.coalesce(fold == 0, F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, and of one made of control strings, read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(rows.unionByName(extra))
+
+
+ORACLE_SQL["op7_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(text, '(\\|\[SYS\]|\[INST\]|\[OUT\]|\[/SYS\]|\[/INST\]|\[/OUT\]|\[ROLE\]|\[/ROLE\]|<s>|</s>|<image>|<audio>|<document>)', '*\1', 'g') AS marked FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(length(marked) + 4 + CASE role WHEN 'user' THEN 6 WHEN 'system' THEN 5 WHEN 'assistant' THEN 5 ELSE 13 + length(role) END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
