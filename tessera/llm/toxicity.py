@@ -31,15 +31,18 @@ from tessera.llm import kernels as K
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 SAMPLE_ROWS = 8_000
 #: Entries of the lexicon, at most, and the lengths of word beginnings that can become one.
-LEXICON, STEMS = 400, (3, 4, 5, 6)
+LEXICON, STEMS = 400, (3, 4, 5, 6, 7, 8)
+#: Occurrences that count in one text, and code points by which copies in the sample are told: of texts that open alike one counts.
+MOST_IN_TEXT, OPENING = 3, 100
 # Closed word classes in English, German, French and Spanish.
 THREATS = "kill murder hurt destroy stab strangle töten umbringen erschlagen tuer égorger frapper matar golpear destruir".split()
 TARGETS = "you your yours he she they him her them his their du dich dein deine ihr euch sie er tu toi ton ta vous votre il elle ils eux tú ti vosotros usted ustedes él ella ellos".split()
 NEGATIONS = "not no never neither nor isn't aren't wasn't don't nicht kein keine nie niemals pas jamais aucun ni nunca jamás ningún".split()
 REPORTS = "said says saying told reported claimed wrote quote quoted called sagte sagt behauptete schrieb dit disait écrit prétend dijo dice escribió afirmó".split()
 KINDS = ("plain", "targeted", "negated", "reported", "threat", "aimed_threat")
-#: Prior weights of the kinds' features.
-PRIOR = np.array([2.0, 2.5, 0.6, 0.8, 1.5, 2.5])
+#: The kinds' features and the outputs' density, and their prior weights.
+FEATURES = (*KINDS, "density")
+PRIOR = np.array([1.5, 2.0, 0.6, 0.8, 1.5, 2.5, 1.0])
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:,\n|()\[\]{}\"“”«»]")
 _CLASS = {w: c for c, ws in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws}
@@ -102,8 +105,8 @@ class Grammar:
         return out
 
     def features(self, text: str | None) -> np.ndarray:
-        """Damped sums of the clauses' outputs by kind."""
-        total = np.zeros(len(KINDS))
+        """Damped sums of the clauses' outputs by kind, and of all outputs for 1000 code points."""
+        total = np.zeros(len(FEATURES))
         if text:
             low = text.lower()
             hits = self.triggers(low)
@@ -111,50 +114,67 @@ class Grammar:
                 ends = [m.start() for m in _CLAUSE.finditer(low)] + [len(low)]
                 for k in sorted({bisect.bisect_right(ends, p) for p in hits}):
                     a, b = (ends[k - 1] + 1 if k else 0), ends[k] if k < len(ends) else len(low)
-                    total += self.clause([(m.group(), hits.get(m.start())) for m in _WORD.finditer(low, a, b)])
+                    total[:-1] += self.clause([(m.group(), hits.get(m.start())) for m in _WORD.finditer(low, a, b)])
+                total[-1] = 1000 * total[:-1].sum() / max(200, len(low))
         return np.log1p(total)
 
 
-def _forms(text: str | None) -> set[tuple[str, bool]]:
-    words = set(_WORD.findall((text or "").lower()))
-    return {(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) >= k}
+def _forms(text: str | None) -> Counter:
+    """How often each word and each word beginning occurs."""
+    out: Counter = Counter()
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        out[w, False] += n
+        for k in STEMS:
+            if len(w) >= k:
+                out[w[:k], True] += n
+    return out
 
 
 def _form_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    docs: tuple[Counter, Counter] = (Counter(), Counter())
+    often: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update(_forms(text))
-    forms = list(seen[0].keys() | seen[1].keys())
+            forms = _forms(text)
+            docs[toxic].update(forms.keys())
+            often[toxic].update({f: min(n, MOST_IN_TEXT) for f, n in forms.items()})
+    forms = list(docs[0].keys() | docs[1].keys())
     for a in range(0, len(forms), 50_000):
         part = forms[a : a + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.string()), pa.array([s for _, s in part], pa.bool_()), *(pa.array([seen[t][f] for f in part], pa.int64()) for t in (1, 0))], ["form", "stem", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.string()), pa.array([s for _, s in part], pa.bool_()), *(pa.array([c[t][f] for f in part], pa.int64()) for c in (docs, often) for t in (1, 0))], list(_COUNTS))
+
+
+_COUNTS = ("form", "stem", "toxic", "clean", "toxic_often", "clean_often")
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text, toxic)`` of at most ``rows`` labelled documents for which ``allowed`` holds of ``id``."""
     picked = labels.select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(allowed)
     picked = picked.orderBy(F.md5(F.col("id").cast("string")), "id").limit(rows)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").groupBy(F.expr(f"substring(coalesce(text, ''), 1, {OPENING})")).agg(F.min(F.struct("id", "text", "toxic")).alias("r")).select("r.*")
 
 
 def learn_lexicon(sample: DataFrame) -> list[Entry]:
-    """Words and word beginnings that toxic documents hold and clean ones don't: those whose log odds stay
-    above a bound with 95 % confidence.  Of beginnings in the same documents the longest stands for all."""
+    """Words and word beginnings that occur more often in toxic text: those whose log odds stay above a bound
+    by 2.5 standard errors, reckoned by the documents that they occur in.  Of beginnings in the same documents the longest stands for all."""
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     t, c = n.get(1, 0), n.get(0, 0)
     if not t or not c:
         return []
-    counts = sample.select("text", "toxic").mapInArrow(_form_counts, "form string, stem boolean, toxic long, clean long").groupBy("form", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = f"ln((toxic + 0.5D) / ({t} + 1.0D)) - ln((clean + 0.5D) / ({c} + 1.0D))"
-    rows = counts.withColumn("weight", F.expr(f"{odds} - 1.64D * sqrt(1 / (toxic + 0.5D) + 1 / (clean + 0.5D))"))
-    rows = rows.where(f"toxic >= {max(4, t // 200)} and toxic > clean and weight >= 1.0D").orderBy(F.desc("weight"), "form", "stem").limit(10 * LEXICON).collect()
+    counts = sample.select("text", "toxic").mapInArrow(_form_counts, "form string, stem boolean, toxic long, clean long, toxic_often long, clean_often long")
+    counts = counts.groupBy("form", "stem").agg(*(F.sum(k).alias(k) for k in _COUNTS[2:]))
+    words = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.sum(F.length("text") + 1).alias("n")).collect()}
+    odds = f"ln((toxic_often + 0.5D) / {max(1, words.get(1) or 1)}) - ln((clean_often + 0.5D) / {max(1, words.get(0) or 1)})"
+    rows = counts.withColumn("weight", F.expr(f"{odds} - 2.5D * sqrt(1 / (toxic + 0.5D) + 1 / (clean + 0.5D))"))
+    rows = rows.where(f"toxic >= {max(4, t // 200)} and weight >= 1.5D").orderBy(F.desc("weight"), "form", "stem").limit(10 * LEXICON).collect()
     rows.sort(key=lambda r: (-r.weight, -len(r.form), not r.stem, r.form))
-    kept: list[Entry] = []
+    kept: list[tuple[Entry, int]] = []
     for r in rows:
-        if len(kept) < LEXICON and not any(r.form.startswith(e.form) and (e.stem or e.form == r.form) or r.stem and e.form.startswith(r.form) and e.weight >= r.weight for e in kept):
-            kept.append(Entry(r.form, r.stem, float(r.weight)))
-    return kept
+        general = any(e.stem and r.form.startswith(e.form) for e, _ in kept)
+        longer = any(r.stem and e.form.startswith(r.form) and n == r.toxic for e, n in kept)
+        if len(kept) < LEXICON and not general and not longer and (r.form, r.stem) not in {(e.form, e.stem) for e, _ in kept}:
+            kept.append((Entry(r.form, r.stem, float(r.weight)), r.toxic))
+    return [e for e, _ in kept]
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 50) -> tuple[float, np.ndarray]:
@@ -186,8 +206,8 @@ def _features(lexicon: list[Entry]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)
         for batch in batches:
-            rows = np.array([grammar.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(KINDS))
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(len(KINDS))), batch.column(1)], [*KINDS, "toxic"])
+            rows = np.array([grammar.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(len(FEATURES))), batch.column(1)], [*FEATURES, "toxic"])
 
     return run
 
@@ -197,9 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_
     lexicon = learn_lexicon(sample)
     if not lexicon:
         return Model((), -4.0, tuple(PRIOR))
-    got = sample.select("text", "toxic").mapInArrow(_features(lexicon), ", ".join(f"{k} double" for k in KINDS) + ", toxic int").toPandas()
+    got = sample.select("text", "toxic").mapInArrow(_features(lexicon), ", ".join(f"{k} double" for k in FEATURES) + ", toxic int").toPandas()
     got = got.sort_values(list(got.columns), ignore_index=True)
-    base, weights = fit_weights(got[list(KINDS)].to_numpy(), got.toxic.to_numpy().astype(float))
+    base, weights = fit_weights(got[list(FEATURES)].to_numpy(), got.toxic.to_numpy().astype(float))
     return Model(tuple(lexicon), base, tuple(weights))
 
 
@@ -212,7 +232,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for a, b in K.chunks(batch.column(at)):
                 part = batch.slice(a, b - a)
-                rows = np.array([grammar.features(t) for t in part.column(at).to_pylist()]).reshape(-1, len(KINDS))
+                rows = np.array([grammar.features(t) for t in part.column(at).to_pylist()]).reshape(-1, len(FEATURES))
                 score = 1 / (1 + np.exp(-np.clip(rows @ weights + model.base, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "toxicity"])
 
