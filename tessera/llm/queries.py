@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import toxicity
+from tessera.llm import packing, toxicity
 from tessera.llm.bpe import encoded
 from tessera.llm.chat import conversation_digests
 from tessera.llm.fingerprints import fingerprints_against_next
+from tessera.llm.licence import scan_licences, scan_sql
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.quality import quality
 from tessera.llm.secret_scan import scan_secrets
+from tessera.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -111,3 +113,46 @@ SELECT conv_id, count(*) AS n_turns,
   (3 + sum(length(marked) + 4 + CASE role WHEN 'user' THEN 6 WHEN 'system' THEN 5 WHEN 'assistant' THEN 5 ELSE 13 + length(role) END))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in optimal length buckets and token-budget batches."""
+    docs = table(spark, sf_dir, "documents")
+    out = packing.pack(docs, packing.word_count(F.col("text")))
+    return out.withColumnRenamed("id", "doc_id").withColumn("bucket_length", F.col("bucket_length").cast("long"))
+
+
+ORACLE_SQL["op1_packing"] = packing.pack_sql()
+
+#: Host, path and verdict (fixed values of the query).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(host, path, verdict)")
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+ORACLE_SQL["op2_url_filter"] = rf"""
+WITH r(rhost, rpath, rverdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(rverdict, length(rhost || rpath)) AS verdict
+  FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+@query
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that paragraphs of each document declare."""
+    found = scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",")
+    return found.select("doc_id", families.alias("families"), F.size(sure).cast("long").alias("n_confirmed"), F.size("licences").cast("long").alias("n_candidates"))
+
+
+ORACLE_SQL["op3_licence_scan"] = scan_sql()
