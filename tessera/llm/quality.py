@@ -12,6 +12,7 @@ an empty result; without labels of both classes the list is empty and keeps ever
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
 
@@ -105,8 +107,34 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(_rows, "id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def failed_base() -> Column:
-    return F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns of ``COUNTS`` after its own, under the prefix ``_q_``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in K.chunks(batch.column(at)):
+                part = batch.slice(a, b - a)
+                got = statistics_of(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], [*part.schema.names, *(f"_q_{c}" for c in COUNTS)])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{c}", T.LongType()) for c in COUNTS)]))
+
+
+def keep_good(docs: DataFrame, rules: list["Rule"], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that neither fail the base rules nor meet a rule of the list."""
+    rows = with_statistics(docs, text_col)
+    counts = F.struct(*(F.col(f"_q_{c}").alias(c) for c in COUNTS))
+    rows = rows.withColumn("_q", counts).drop(*(f"_q_{c}" for c in COUNTS))
+    return rows.where(~failed_base("_q.") & verdict(rules, "_q.")).drop("_q")
+
+
+def failed_base(at: str = "") -> Column:
+    return F.expr(_at("n_words < 10 or 100 * n_repeat_words > 20 * n_words", at))
+
+
+def _at(sql: str, prefix: str) -> str:
+    return re.sub(r"\b(" + "|".join(COUNTS) + r")\b", rf"{prefix}\1", sql)
 
 
 def _ratio(a: str, b: str) -> str:
@@ -139,8 +167,8 @@ class Rule:
             out &= (x[name] > t) if above else (x[name] <= t)
         return out
 
-    def column(self) -> Column:
-        return F.expr(" and ".join(f"{FEATURES[n]} {'>' if above else '<='} {t!r}D" for n, above, t in self.conditions))
+    def column(self, at: str = "") -> Column:
+        return F.expr(_at(" and ".join(f"{FEATURES[n]} {'>' if above else '<='} {t!r}D" for n, above, t in self.conditions), at))
 
 
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int = 3) -> Rule:
@@ -177,7 +205,7 @@ def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> float:
     return ((bad & c).sum() - 4 * (~bad & c).sum()) / max(1, c.sum())
 
 
-def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, support: int = 5, most: int = 12) -> list[Rule]:
+def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.98, support: int = 5, most: int = 12) -> list[Rule]:
     """Ordered rules that reject bad rows.  A rule joins the list if at least ``precision`` of the sample's
     rows that it covers are bad, and at least ``support`` of them."""
     held = np.arange(len(bad)) % 3 == 2
@@ -212,11 +240,11 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     return learn_list({k: rows[k].to_numpy() for k in FEATURES}, (rows.quality == 0).to_numpy())
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """False for rows that a rule rejects, in the list's order."""
+def verdict(rules: list[Rule], at: str = "") -> Column:
+    """False for rows that a rule rejects, in the list's order; ``at`` stands before the counts' names."""
     out: Column | None = None
     for rule in rules:
-        out = F.when(rule.column(), F.lit(False)) if out is None else out.when(rule.column(), F.lit(False))
+        out = F.when(rule.column(at), F.lit(False)) if out is None else out.when(rule.column(at), F.lit(False))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
