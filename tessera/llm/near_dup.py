@@ -44,8 +44,8 @@ from tessera.plans.iterate import cut
 REGISTERS, BAND, BANDS, MANTISSA = 128, 5, 25, 10
 #: Classes in a group that is compared pair by pair.
 SMALL = 32
-#: Members of a group whose differences one task compares.
-BLOCK = 512
+#: Members of a group whose differences one task compares, and bytes of these differences.
+BLOCK, BLOCK_BYTES = 1200, 64 << 20
 #: Expected members that a pivot is chosen from.
 SAMPLE = 48
 #: Standard deviations by which an estimate may fall short before a pair is dropped.
@@ -107,7 +107,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """The full sets of the classes in ``needed (id)``: computed anew from the texts, not stored for all."""
+    """The full sets of the rows of ``texts (id, text)`` that ``needed (id)`` names."""
     return texts.join(needed, "id", "left_semi").mapInArrow(_set_rows, "id long, set binary")
 
 
@@ -238,7 +238,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85) -> DataFrame:
     """Links ``(a, b)`` between classes: enough of them that linked classes are connected.
 
-    ``texts (id, text)`` has each class's representative, ``reps (id, n, regs)`` its sketch.
+    ``reps (id, n, regs)`` has the sketch of each class's representative, ``texts (id, text)`` its text.
     """
     groups = reps.select("id", "regs").mapInArrow(_band_rows, "gid long, id long")
     sketch = reps.select("id", "n", "regs")
@@ -248,24 +248,31 @@ def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85) -
     pairs = near.select("gid", F.col("id").alias("a")).join(near.select("gid", F.col("id").alias("b")), "gid").where("a < b").select("a", "b").distinct()
     pairs = pairs.join(sketch.toDF("a", "n", "ra"), "a").join(sketch.toDF("b", "m", "rb"), "b")
     pairs = cut(pairs.select("a", "b", "ra", "rb", "n", "m").mapInArrow(_likely(percent), "a long, b long"))
-    links = [_confirmed(texts, pairs, percent)]
     large = groups.where(f"size > {SMALL}").select("gid", "id", "size")
+    # Sets are computed anew for those that need an exact comparison, once, and not kept for all.
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
+    full = cut(_sets_of(texts, needed))
+    links = [_confirmed(full, pairs, percent)]
     for _ in range(60):
         pivots = cut(_pivots_of(large, reps))
         if pivots.isEmpty():
             break
         members = cut(large.join(pivots, "gid").select("id", "pivot").distinct())
-        full = _sets_of(texts, members.select("id").unionByName(members.select(F.col("pivot").alias("id"))).distinct())
         against = members.join(full, "id").join(full.toDF("pivot", "pivot_set"), "pivot").select("id", "pivot", "set", "pivot_set")
         against = cut(against.mapInArrow(_differences(percent), "id long, pivot long, linked boolean, n long, diff binary, keys array<long>"))
         links.append(against.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        # Only groups with a member that isn't linked to its pivot go on.
-        rest = against.select(F.explode("keys").alias("gid"), "id", "pivot", F.expr("not linked").alias("open"))
-        sizes = rest.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.max("open").alias("open")).where("size > 1 and open")
-        rest = cut(rest.drop("open").join(sizes.drop("open"), "gid"))
-        close = rest.where(f"size <= {BLOCK}").join(against.select("id", "pivot", "n", "diff"), ["id", "pivot"])
+        # A group goes on if it has a member that isn't linked to its pivot: in one task if that can hold
+        # its differences, else by their elements.
+        sizes = against.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("diff")).alias("bytes"), F.max(~F.col("linked")).alias("open")).where("size > 1 and open")
+        held = F.expr(f"size <= {BLOCK} and bytes <= {BLOCK_BYTES}")
+        whole = against.join(sizes.where(held).select("pivot"), "pivot")
+        links.append(whole.select(F.col("pivot").alias("gid"), "id", "n", "diff").groupBy("gid").applyInPandas(_forest(percent), "a long, b long"))
+        rest = against.join(sizes.where(~held).select("pivot"), "pivot").select(F.explode("keys").alias("gid"), "id", "pivot", F.expr("not linked").alias("open"), F.expr("length(diff)").alias("bytes"))
+        sizes = rest.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"), F.max("open").alias("open")).where("size > 1 and open")
+        rest = cut(rest.select("gid", "id", "pivot").join(sizes.select("gid", "size", F.expr(f"size <= {BLOCK} and total <= {BLOCK_BYTES}").alias("held")), "gid"))
+        close = rest.where("held").join(against.select("id", "pivot", "n", "diff"), ["id", "pivot"])
         links.append(close.select("gid", "id", "n", "diff").groupBy("gid").applyInPandas(_forest(percent), "a long, b long"))
-        large = rest.where(f"size > {BLOCK}").select("gid", "id", "size")
+        large = rest.where("not held").select("gid", "id", "size")
     else:
         raise RuntimeError("groups did not fall apart")
     out = links[0]
@@ -282,13 +289,16 @@ def _pivots_of(large: DataFrame, reps: DataFrame) -> DataFrame:
     # One that is certainly there, for groups of which none is drawn.
     drawn = drawn.unionByName(large.groupBy("gid").agg(F.min("id").alias("id"))).distinct()
     best = drawn.join(reps.select("id", "regs"), "id").groupBy("gid").applyInPandas(_pivots, "gid long, pivot long")
-    # Of the pivots that a group has as members it takes the one that most groups chose: any pivot will do, and few are cheaper.
-    liked = cut(best).groupBy(F.col("pivot").alias("id")).agg(F.count(F.lit(1)).alias("votes"))
-    return large.join(liked, "id").groupBy("gid").agg(F.max(F.struct("votes", F.negative("id").alias("low"))).alias("x")).select("gid", F.negative("x.low").alias("pivot"))
+    # Of the pivots that a group has as members it takes the one that most groups chose, twice over: any pivot will do, and few are cheaper.
+    for _ in range(2):
+        best = cut(best)
+        liked = best.groupBy(F.col("pivot").alias("id")).agg(F.count(F.lit(1)).alias("votes"))
+        chosen = large.join(liked, "id").groupBy("gid").agg(F.max(F.struct("votes", F.negative("id").alias("low"))).alias("x"))
+        best = chosen.select("gid", F.negative("x.low").alias("pivot"))
+    return best
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    full = _sets_of(texts, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+def _confirmed(full: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(_linked(percent), "a long, b long")
 
@@ -303,9 +313,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sketch = cut(sketches(docs, "id"))
     classes = sketch.where("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "regs")).alias("r")).select("key", "r.*")
     classes = cut(classes)
-    # An id that two rows share names two sets: classes go by a number of their own where that happens.
-    texts = docs.join(classes.select("id"), "id", "left_semi")
-    links = near_duplicate_links(texts, classes.select("id", "n", "regs"), percent)
+    links = near_duplicate_links(docs, classes.select("id", "n", "regs"), percent)
     found = component_labels(links, "a", "b").withColumnRenamed("id", "rep")
     named = classes.select("key", F.col("id").alias("rep")).join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
