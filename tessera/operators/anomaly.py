@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TINY = 1e-16
-_NODE = Window.partitionBy("node")
+def _node():
+    return Window.partitionBy("node")
 
 
 def distance(a: str, b: str):
@@ -35,12 +36,12 @@ def local_errors(coords: DataFrame, ref: DataFrame) -> DataFrame:
 
 
 def z_score(errors: DataFrame) -> DataFrame:
-    return errors.withColumn("score", (F.col("err") - F.avg("err").over(_NODE)) / (F.stddev_pop("err").over(_NODE) + TINY))
+    return errors.withColumn("score", (F.col("err") - F.avg("err").over(_node())) / (F.stddev_pop("err").over(_node()) + TINY))
 
 
 def _others(errors: DataFrame) -> DataFrame:
     """Each row with the other errors of its node: a list, as sums less a term cancel."""
-    packed = errors.withColumn("all", F.collect_list(F.struct("patch", "err")).over(_NODE))
+    packed = errors.withColumn("all", F.collect_list(F.struct("patch", "err")).over(_node()))
     return packed.withColumn("others", F.transform(F.filter("all", lambda x: x["patch"] != F.col("patch")), lambda x: x["err"])).drop("all")
 
 
@@ -64,7 +65,7 @@ def boosted_z(errors: DataFrame, threshold: float = 4.0, positive_only: bool = T
     first = z_score(errors)
     size = F.col("score") if positive_only else F.abs("score")
     kept = F.when(size <= threshold, F.col("err"))
-    return first.select("node", "patch", "err", ((F.col("err") - F.avg(kept).over(_NODE)) / (F.stddev_pop(kept).over(_NODE) + TINY)).alias("score"))
+    return first.select("node", "patch", "err", ((F.col("err") - F.avg(kept).over(_node())) / (F.stddev_pop(kept).over(_node()) + TINY)).alias("score"))
 
 
 def quantile_score(errors: DataFrame, quantile: float | list[float] = 0.75) -> DataFrame:
@@ -94,7 +95,7 @@ def sliding_errors(coords: DataFrame, window: int = 7) -> DataFrame:
 def local_outlier_factor(points: DataFrame, k: int) -> DataFrame:
     """``(node, patch, score)``: LOF - 1 of a node's coordinates among its own patches, for nodes with more
     than ``k``.  Ties at the k-th distance go to the smaller patch."""
-    rows = points.withColumn("n", F.count(F.lit(1)).over(_NODE)).where(F.col("n") > k)
+    rows = points.withColumn("n", F.count(F.lit(1)).over(_node())).where(F.col("n") > k)
     a, b = rows.select("node", F.col("patch").alias("p"), F.col("coord").alias("x")), rows.select("node", F.col("patch").alias("q"), F.col("coord").alias("y"))
     pairs = a.join(b, "node").where("p <> q").select("node", "p", "q", distance("x", "y").alias("d"))
     near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("node", "p").orderBy("d", "q"))).where(F.col("rank") <= k)
