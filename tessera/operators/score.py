@@ -47,7 +47,8 @@ def random_split(labels: DataFrame, train_per_class: int = 20, validation: int =
     """``(id, part)`` of labelled nodes ``(id, y)``: the first of each class by hash train, the next validate,
     the others test.  Nodes without a label (null or negative) have no part.
 
-    Only the first few are ranked: the hash is below a bound that leaves them all in, with counts to check.
+    Spark keeps the first few of each class in a task before it shuffles them, and takes the first of the rest
+    as a top-k, so no task sorts a whole class.
     """
     rows = labels.where("y >= 0").select("id", "y", _draw(seed).alias("h"))
     train = rows.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("k") <= train_per_class).select("id", F.lit("train").alias("part"))
