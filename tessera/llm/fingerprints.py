@@ -64,27 +64,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_rows, "id long, signature binary")
 
 
-def similar_pairs(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``: ``members (id, class_id)`` joins documents of equal signature and
-    ``pairs (a, b, jaccard)`` holds class pairs that share a band and whose shingle sets reach ``least``.
+def similar_pairs(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(members, pairs)``: ``members (id, class_id)`` joins documents of equal shingle sets; ``pairs (a, b,
+    jaccard)`` holds links between classes that share a band and whose sets reach ``percent``.
 
-    Copies are one class before the bands are joined, so a group of copies yields no pairs.
+    Copies are one class before the bands are joined.  Of a large group of similar texts the pairs are enough
+    to connect all that are linked, as in ``near_dup``, not all of them.  A text without words is in no class.
     """
-    from tessera.llm.near_dup import _sets_of
+    from tessera.llm import near_dup
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = cut(fingerprints(rows, "id").where("id is not null"))
-    classes = marks.groupBy("signature").agg(F.min("id").alias("class_id"))
-    members = marks.join(classes, "signature").select("id", "class_id")
+    sketch = cut(near_dup.sketches(rows, "id"))
+    classes = cut(near_dup.classes_of(sketch))
+    members = sketch.where("id is not null").join(classes.select("key", F.col("id").alias("class_id")), "key").select("id", "class_id")
+    marks = fingerprints(rows.join(classes.select("id"), "id", "left_semi"), "id")
     size = 2 * PERMUTATIONS // BANDS
-    empty = bytes(2 * PERMUTATIONS)
-    bands = classes.where(F.col("signature") != F.lit(empty)).select("class_id", F.posexplode(F.array(*(F.expr(f"substring(signature, {i * size + 1}, {size})") for i in range(BANDS)))).alias("band", "key"))
-    pairs = bands.withColumnRenamed("class_id", "a").join(bands.withColumnRenamed("class_id", "b"), ["band", "key"]).where("a < b").select("a", "b").distinct()
-    pairs = cut(pairs)
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    full = _sets_of(rows, needed)
-    both = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return members, both.mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= least)
+    bands = marks.select("id", F.posexplode(F.array(*(F.expr(f"substring(signature, {i * size + 1}, {size})") for i in range(BANDS)))).alias("band", "key"))
+    links = near_dup.near_duplicate_links(rows, classes.select("id", "n", "regs"), percent, bands.select(F.xxhash64("band", "key").alias("gid"), "id").distinct())
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    full = near_dup._sets_of(rows, ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct())
+    both = ends.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return members, both.mapInArrow(_jaccard, "a long, b long, jaccard double")
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +97,9 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
 
 
+_NEXT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
 def _edited(text: str, after: str) -> str:
     half = len(text) // 2
     return text[: len(text) - half] + after[:half]
@@ -161,12 +164,14 @@ def fingerprints_against_next(docs: DataFrame, id_col: str = "doc_id", text_col:
     placed = rows.where("id is not null").withColumn("block", block("id"))
     if some_null:
         placed = placed.unionByName(rows.where("id is null").withColumn("block", F.lit(last)))
+    if some_null:  # the rows without an id are a block of their own, after all others
+        heads.append((None, before[last]))
     if not heads:
-        heads = [(None, last)]
+        return rows.where("false").mapInArrow(_against_next, _NEXT)
     heads = docs.sparkSession.createDataFrame(heads, "head long, dest int")  # at most MOST_BLOCKS rows
     sent = placed.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head")) if some_null else F.col("id") == F.col("head"), "left")
     sent = sent.withColumn("to", F.explode(F.when(F.col("dest").isNull(), F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("tail")))).otherwise(F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("tail")), F.struct(F.col("dest").alias("block"), F.lit(1).alias("tail"))))))
     sent = sent.select("to.block", "to.tail", "id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = sent.repartition(parts, "block").sortWithinPartitions("block", "tail", F.col("id").desc_nulls_last(), "text")
-    return sent.mapInArrow(_against_next, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return sent.mapInArrow(_against_next, _NEXT)

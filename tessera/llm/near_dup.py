@@ -235,14 +235,17 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(np.repeat(ids, BANDS).reshape(-1, BANDS)[some])], ["gid", "id"])
 
 
-def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85, groups: DataFrame | None = None) -> DataFrame:
     """Links ``(a, b)`` between classes: enough of them that linked classes are connected.
 
     ``reps (id, n, regs)`` has the sketch of each class's representative, ``texts (id, text)`` its text.
+    ``groups (gid, id)`` says which classes meet, where that isn't for the bands of the sketch to say.
     """
-    groups = reps.select("id", "regs").mapInArrow(_band_rows, "gid long, id long")
+    if groups is None:
+        groups = reps.select("id", "regs").mapInArrow(_band_rows, "gid long, id long")
     sketch = reps.select("id", "n", "regs")
-    groups = reps.select("id", "regs").mapInArrow(_band_rows, "gid long, id long")
+    if groups is None:
+        groups = reps.select("id", "regs").mapInArrow(_band_rows, "gid long, id long")
     groups = cut(groups.join(groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "gid"))
     near = groups.where(f"size <= {SMALL}")
     pairs = near.select("gid", F.col("id").alias("a")).join(near.select("gid", F.col("id").alias("b")), "gid").where("a < b").select("a", "b").distinct()
@@ -303,6 +306,11 @@ def _confirmed(full: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_linked(percent), "a long, b long")
 
 
+def classes_of(sketch: DataFrame) -> DataFrame:
+    """``(key, id, n, regs)``: a row for each set that isn't empty, under the smallest id that has it."""
+    return sketch.where("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "regs")).alias("r")).select("key", "r.*")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for each document.
 
@@ -311,8 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = cut(sketches(docs, "id"))
-    classes = sketch.where("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "regs")).alias("r")).select("key", "r.*")
-    classes = cut(classes)
+    classes = cut(classes_of(sketch))
     links = near_duplicate_links(docs, classes.select("id", "n", "regs"), percent)
     found = component_labels(links, "a", "b").withColumnRenamed("id", "rep")
     named = classes.select("key", F.col("id").alias("rep")).join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))

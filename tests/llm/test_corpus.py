@@ -1,0 +1,434 @@
+"""Corpus operators against brute force, and their edge cases."""
+
+import hashlib
+import json
+import random
+import re
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, chat, fingerprints, kernels, licence, near_dup, packing, quality, secret_scan, toxicity, url_filter
+
+WORDS = r"[^\x20\x09-\x0D]+"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, score double"
+#: Nulls, empty and odd texts, ties, repeated rows, columns whose names the operators use themselves.
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one two three four"), (6, "One TWO three four"), (7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (8, "é\u2003ü 東京\u00a0x y z"), (9, "w " * 30_000), (10, "x" * 70_000), (11, "\n".join(["same line here"] * 5))]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, None, 5, "k", 0.5) for i, t in rows], SCHEMA)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice("the of and a tree river stone walks under over quiet morning light seven letters home".split()) + str(rng.randrange(40)) for _ in range(n))
+
+
+def shingles(text):
+    w = re.findall(WORDS, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def family(rng, base, n, edits):
+    out = []
+    for _ in range(n):
+        w = base.split()
+        for _ in range(rng.randrange(edits + 1)):
+            w[rng.randrange(len(w))] = "edit" + str(rng.randrange(10**6))
+        out.append(" ".join(w))
+    return out
+
+
+# ---- words ---------------------------------------------------------------------------------------
+
+
+def test_words_across_segments(monkeypatch):
+    monkeypatch.setattr(kernels, "SEGMENT", 64)
+    rng = random.Random(1)
+    texts = [prose(rng, rng.randrange(40)) for _ in range(30)] + ["", None, "y" * 500 + " z"]
+    w = kernels.words(pa.array(texts))
+    seen = {}
+    for i, t in enumerate(texts):
+        want = re.findall(WORDS, t or "")
+        assert w.counts[i] == len(want)
+        for k, word in enumerate(want):
+            assert seen.setdefault(word, w.hash[w.first[i] + k]) == w.hash[w.first[i] + k]
+    assert len(set(seen.values())) == len(seen)
+
+
+# ---- 10 and 9 ------------------------------------------------------------------------------------
+
+
+def links_of(docs, percent=85):
+    sets = {i: shingles(t) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        i = len(sets[a] & sets[b])
+        if i and 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("small,block", [(32, 1200), (8, 24)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, block):
+    """Small limits send the same groups through pivots and differences."""
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(3)
+    passage = prose(rng, 60)
+    texts = family(rng, prose(rng, 150), 60, 4) + family(rng, prose(rng, 60), 30, 2) + [passage + " " + prose(rng, n) for n in range(1, 40)] + [prose(rng, rng.randrange(1, 30)) for _ in range(40)] + ["", None, "one two", "One two"]
+    texts += texts[:10]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == links_of(docs)
+
+
+def test_near_duplicates_odd_rows(spark):
+    got = near_dup.near_duplicates(frame(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    by = {}
+    for r in got:
+        by.setdefault(r.id, []).append((r.n_shingles, r.component_id, r.kept))
+    assert by[1] == [(0, 1, True)] and by[3] == [(0, 3, True)]
+    assert by[5] == [(1, 5, True)] and by[6] == [(1, 5, False)]
+    assert by[7] == [(1, 7, True)] * 2 and by[9] == [(1, 9, True)]
+    assert near_dup.near_duplicates(frame(spark, [])).collect() == []
+
+
+def test_registers_hold_the_smallest_hash_of_a_bucket():
+    rng = np.random.default_rng(0)
+    values = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+    regs = near_dup.registers(values)
+    for b in range(near_dup.REGISTERS):
+        rest = [(int(v) & ((1 << 57) - 1)) for v in values if int(v) >> 57 == b]
+        if not rest:
+            assert regs[b] == 0
+            continue
+        bits = format(min(rest), "057b") + "1" + "0" * 80
+        zeros = bits.index("1")
+        assert regs[b] == (zeros + 1) << 10 | int(bits[zeros + 1 : zeros + 11], 2)
+
+
+def test_estimates_are_close():
+    rng = np.random.default_rng(1)
+    for j in (0.3, 0.6, 0.9):
+        both, each = int(2000 * j), int(2000 * (1 - j) / 2)
+        pool = rng.integers(0, 2**64, both + 2 * each, dtype=np.uint64)
+        a, b = np.sort(pool[: both + each]), np.sort(np.concatenate([pool[:both], pool[both + each :]]))
+        s, _ = near_dup.estimate(near_dup.registers(a)[None], near_dup.registers(b)[None], np.array([len(a)]), np.array([len(b)]))
+        assert abs(s[0] - j) < 0.15
+
+
+def test_fingerprints_against_next(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 7)
+    rng = random.Random(5)
+    docs = [(3 * i, prose(rng, rng.randrange(200))) for i in range(60)] + [(1, None), (2, "é" * 9)]
+    got = {r.id: r for r in fingerprints.fingerprints_against_next(frame(spark, docs)).collect()}
+    ids, text = sorted((i for i, _ in docs), reverse=True), {i: t or "" for i, t in docs}
+    assert got.keys() == set(ids)
+    for k, i in enumerate(ids):
+        x, after = text[i], text[ids[(k + 1) % len(ids)]]
+        edited = x[: len(x) - len(x) // 2] + after[: len(x) // 2]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
+        a, b = shingles(x), shingles(edited)
+        assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)) < 0.3
+        assert (r.near_edited == 1.0) == (r.fingerprint == r.edited_fingerprint)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    got = fingerprints.fingerprints_against_next(frame(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    assert fingerprints.fingerprints_against_next(frame(spark, [])).collect() == []
+    assert len(fingerprints.fingerprints_against_next(frame(spark, [(None, "a"), (None, "b")])).collect()) == 2
+    one = fingerprints.fingerprints_against_next(frame(spark, [(1, "a b")])).collect()
+    assert one[0].near_next == 1.0
+
+
+def test_similar_pairs(spark):
+    rng = random.Random(6)
+    base = prose(rng, 300)
+    docs = [(0, base), (1, base), (2, base + " tail"), (3, prose(rng, 300)), (4, "")]
+    members, pairs = fingerprints.similar_pairs(frame(spark, docs))
+    assert {(r.id, r.class_id) for r in members.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 2)]
+
+
+# ---- 1 -------------------------------------------------------------------------------------------
+
+
+def test_limits_are_optimal():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = np.sort(rng.choice(60, 9, replace=False) + 1)
+        counts = rng.integers(1, 9, 9)
+        limits, padding = packing.best_limits(lengths, counts, 3)
+        cost = min(sum(c * (next(m for m in sorted(k) if m >= x) - x) for x, c in zip(lengths, counts, strict=True)) for k in ((a, b, lengths[-1]) for a, b in combinations(lengths[:-1], 2)))
+        assert padding == cost and limits[-1] == lengths[-1]
+
+
+def test_packing_keeps_all_tokens(spark):
+    rng = random.Random(7)
+    docs = [(i, prose(rng, rng.randrange(120))) for i in range(300)] + ODD
+    rows = packing.pack(frame(spark, docs), packing.word_count(F.col("text")), longest=50, budget=200, buckets=4).collect()
+    assert sum(r.n_tokens for r in rows) == sum(len(re.findall(WORDS, t or "")) for _, t in docs)
+    batches = {}
+    for r in rows:
+        if r.n_tokens:
+            assert r.n_tokens <= r.bucket_length
+            batches.setdefault((r.bucket, r.batch), []).append(r)
+        else:
+            assert (r.bucket, r.batch) == (0, None)
+    for (bucket, _), members in batches.items():
+        assert sorted(m.slot for m in members) == list(range(len(members)))
+        assert len(members) * members[0].bucket_length <= 200 or len(members) == 1
+    assert packing.pack(frame(spark, []), packing.word_count(F.col("text"))).collect() == []
+
+
+# ---- 2 -------------------------------------------------------------------------------------------
+
+
+def test_urls_equal_brute_force(spark):
+    rng = random.Random(8)
+    hosts = ["com", "a.com", "b.a.com", "xa.com", "www.b.a.com", "net", "a.net", "A.COM", ""]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/en', '/en/', '/en/x', '/de/en/', '/EN/'])}{rng.choice(['', '?q=/en/', '#t', '/?'])}" for _ in range(300)]
+    urls += [None, "", "a.com/en/", "x://", "http://a.com?x=://b.a.com/en/", "http://a.com/\n/en/", "http://é.a.com/en/"]
+    rules = [("com", "/", "allow"), ("a.com", "/en/", "block"), ("b.a.com", "/", "block"), ("b.a.com", "/en/x", "allow"), ("com", "/de/en/", "block"), ("net", "", "block"), ("a.com", "/en/", "allow")]
+    pages = spark.createDataFrame([(i, u, 1, "r") for i, u in enumerate(urls)], "page_id long, url string, key int, rule_ string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), salts=3).collect()}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=(0, None, "allow"))
+        assert got[i] == (host, path, best[1], best[2]), u
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    assert url_filter.filter_urls(pages, none).where("rule is not null").count() == 0
+    assert url_filter.filter_urls(pages.limit(0), none).collect() == []
+
+
+# ---- 3 -------------------------------------------------------------------------------------------
+
+
+def test_licence_families(spark):
+    docs = [(1, "Some text.\nLicensed under the Apache License, Version 2.0."), (2, "Released under the MIT License."), (3, "He lost his driving license on the MIT campus."), (4, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0."), *((10 + i, t) for i, t in ODD if i)]
+    got = {r.doc_id: {x.family for x in r.licences if x.confirmed} for r in licence.scan_licences(frame(spark, docs)).collect()}
+    assert got[1] == {"apache-2.0"} and got[2] == {"mit"} and got[3] == set() and got[4] == {"gpl", "cc-by-nc"}
+    assert not any(got[10 + i] for i, _ in ODD if i)
+    assert licence.scan_licences(frame(spark, [])).collect() == []
+
+
+def test_licence_held_out_accuracy():
+    m = licence.train()
+    data = licence._sentences(99)
+    right = 0
+    for text, k in data:
+        g = licence.grams(text)
+        z = m.bias + sum((m.weights[i] for i, v in enumerate(m.vocabulary) if v in g), np.zeros(len(m.bias)))
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        best = int(p.argmax()) if p.max() >= m.threshold else len(m.families)
+        right += best == k
+    assert right / len(data) > 0.9
+
+
+# ---- 4 -------------------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def test_base_spans_equal_brute_force():
+    rng = random.Random(9)
+    bits = ["password", "Token", "api_key", "apikey", "=", ":", " ", '"', "AKIA", "ABCD1234", "deadbeef", "0123456789abcdef", "é", "東", "\n", "x", "K", "ſecret"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(20)))
+        want = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        want.sort(key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+        assert [(s.kind, s.start, s.end) for s in secret_scan.spans_of(t) if s.kind != "novel"] == want
+
+
+def test_novel_strings_and_masks(spark):
+    found = "the session_id=Zk83hdQ92mXp1LsT is"
+    assert [s.kind for s in secret_scan.spans_of(found)] == ["novel"]
+    assert secret_scan.masked(found, secret_scan.spans_of(found)) == "the session_id=[secret] is"
+    assert secret_scan.spans_of("my token is configuration_environment_2") == []
+    rows = secret_scan.mask_secrets(frame(spark, ODD + [(20, "é password=abcdef123456")])).collect()
+    assert len(rows) == len(ODD) + 1
+    assert {r.doc_id: r.text for r in rows}[20] == "é [secret]" and {r.doc_id: r.text for r in rows}[1] is None
+    assert secret_scan.scan_secrets(frame(spark, [])).collect() == []
+
+
+# ---- 5 -------------------------------------------------------------------------------------------
+
+
+def test_statistics_equal_brute_force():
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["a", "b", "c#", "é", "\n", "D4"]) for _ in range(rng.randrange(60))) for _ in range(300)] + [t for _, t in ODD]
+    got = quality.statistics_of(pa.array(texts))
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall(WORDS, t)
+        wins = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        inside = {k + j for k, x in enumerate(wins) if wins.count(x) > 1 for j in range(5)} if len(wins) < 2000 else set(range(len(w)))
+        lines = [x for x in t.split("\n") if re.search(WORDS, x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside), len(set(w)))
+        assert tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words")) == want
+
+
+def test_decision_list_finds_planted_rules():
+    rng = np.random.default_rng(4)
+    x = {"a": rng.random(3000), "b": rng.random(3000)}
+    bad = (x["a"] > 0.8) | ((x["b"] < 0.2) & (x["a"] < 0.3))
+    rules = quality.learn_list(x, bad)
+    out = np.any([r.covers(x) for r in rules], axis=0)
+    assert (out == bad).mean() > 0.97
+    assert quality.learn_list(x, np.zeros(3000, bool)) == []
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(1, None, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.quality(frame(spark, ODD), labels).collect()
+    assert len(got) == len(ODD) and all(r.base_failed and not r.kept for r in got if r.id in (1, 2, 4))
+    assert quality.quality(frame(spark, []), labels.limit(0)).collect() == []
+
+
+# ---- 6 -------------------------------------------------------------------------------------------
+
+
+def test_grammar_modifies_weights():
+    g = toxicity.Grammar([toxicity.Entry("fool", False, 2.0), toxicity.Entry("rott", True, 1.0)])
+    plain, aimed, negated, reported, threat, aimed_threat, _ = range(7)
+    assert g.features("what a fool.")[plain] > 0
+    assert g.features("You are a fool")[aimed] > 0 and g.features("fool that you are")[aimed] > 0
+    assert g.features("not a fool")[negated] > 0 and g.features("they said a fool")[reported] > 0
+    assert g.features("I will kill you")[aimed_threat] > 0 and g.features("kill time")[threat] > 0
+    assert g.features("foolish")[:6].sum() == 0 and g.features("rotten")[plain] > 0
+    assert not g.features(None).any() and not g.features("").any()
+    assert g.features("not now. a fool")[negated] == 0
+
+
+def test_toxicity_held_out_accuracy(spark):
+    rng = random.Random(11)
+    docs, labels = [], []
+    for i in range(900):
+        toxic = i % 5 == 0
+        w = prose(rng, 60).split()
+        for _ in range(3 if toxic else 0):
+            w[rng.randrange(60)] = rng.choice(["grobble", "snarkish", "vexum" + str(rng.randrange(9))])
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    f, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(f, lab, F.col("id") % 3 != 0)
+    got = {r.doc_id: r.toxicity for r in toxicity.scored(f, model).collect()}
+    held = [(got[i], t) for i, _, t in labels if i % 3 == 0]
+    assert np.mean([(s >= 0.5) == bool(t) for s, t in held]) > 0.97
+    odd = toxicity.scored(frame(spark, ODD), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r.toxicity <= 1 for r in odd)
+    none = toxicity.fit(f, lab.limit(0), F.lit(True))
+    assert all(r.toxicity < 0.5 for r in toxicity.scored(frame(spark, ODD), none).collect())
+
+
+# ---- 7 -------------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip():
+    rng = random.Random(12)
+    bits = [*chat.CONTROL, "\\", "a", "\n", "é", "[", "/", "<", ">"]
+    for most in (1, 40, chat.SEGMENT):
+        for _ in range(300):
+            turns = [(rng.choice(["user", "assistant", "system", "", "tool[/ROLE]"]), "".join(rng.choice(bits) for _ in range(rng.randrange(8)))) for _ in range(rng.randrange(5))]
+            segments = list(chat.format_turns(((r, [chat.TextPart(t)]) for r, t in turns), most=most))
+            read = [chat.read_back(s) for s in segments]
+            assert [t for r, _ in read for t in r] == turns
+            assert [t for _, m in read for t in m] == [t for r, t in turns if r == "assistant"]
+
+
+def test_typed_parts():
+    f = chat.Flattener()
+    s = list(chat.format_turns([("user", [chat.TextPart("see <image> "), chat.ImagePart("i.png", 28, 30), chat.AudioPart("a.wav", 2.0)]), ("assistant", [chat.TextPart("ok"), chat.DocumentPart("d.pdf", 3)])], f))
+    assert s[0].text == "<s>[INST]see <\\image> <image><audio></s>[OUT]ok<document></s>"
+    assert [(a.index, a.kind, a.ref, a.tokens) for a in f.attachments] == [(0, "image", "i.png", 6), (1, "audio", "a.wav", 50), (2, "document", "d.pdf", 1536)]
+
+
+def test_conversations_with_nulls(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (2, None, "user", ""), (1, 1, "assistant", "b")]
+    got = {r.conv_id: r for r in chat.conversation_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].n_turns == 3 and got[1].loss_chars == 2
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\nassistant\nb\n").hexdigest()
+    assert got[None].turns_sha256 == hashlib.sha256(b"\nx\n").hexdigest() and got[2].n_turns == 1
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.conversation_digests(empty).collect() == [] and chat.format_conversations(empty).collect() == []
+
+
+# ---- 8 -------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.Encoder(path)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 500)
+    rng = random.Random(13)
+    vocabulary = list(own.vocabulary.bytes_of.values())
+    texts = ["", " ", "<|endoftext|>a<|endoftext|>", "a" * 2000, " \x1c\x1d\x85\u2003x", "\u180e\ufeff\u3000\u3000z", *(t for _, t in ODD if t)]
+    texts += [b"".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 6))).decode("utf-8", "replace") for _ in range(1500)]
+    texts += ["".join(rng.choice("aeinorst  hlE'.,\n1é") for _ in range(rng.randrange(60))) for _ in range(1500)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    got = [x for k in range(0, len(texts), 200) for x in own.encode(texts[k : k + 200])]
+    assert got == [",".join(map(str, w.ids)) for w in want]
+    assert [own.decode(g) for g in got] == [library.decode(w.ids, skip_special_tokens=False) for w in want]
+    rows = bpe.encoded(frame(spark, ODD), path).collect()
+    assert len(rows) == len(ODD) and all(r.decoded == (t or "") for r, t in [(r, dict(ODD)[r.id]) for r in rows if r.id])
+    assert bpe.encoded(frame(spark, []), path).collect() == []
+
+
+def test_bpe_where_a_token_is_never_reached(tmp_path):
+    """'ab' is merged before 'bc', so the token 'abc' made of a and bc never comes about."""
+    letters = {chr(b) if 33 <= b <= 126 else None: b for b in range(33, 127)}
+    vocabulary = {c: i for i, c in enumerate(letters)} | {"ab": 94, "bc": 95, "abc": 96}
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"model": {"type": "BPE", "vocab": vocabulary, "merges": [["a", "b"], ["b", "c"], ["a", "bc"]]}}))
+    e = bpe.Encoder(str(path))
+    assert e.encode(["abc", "bc", "abbc"]) == [f"94,{vocabulary['c']}", "95", "94,95"]
+
+
+# ---- pipeline ------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    base = prose(rng, 120)
+    docs = [(i, prose(rng, 80)) for i in range(200)] + [(300, base), (301, base), (302, base + " end"), (303, None), (304, "short"), (305, prose(rng, 60) + " password=abcdef123456")]
+    docs += [(400 + i, prose(rng, 60) + " grobble snarkish") for i in range(40)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i >= 400)) for i, _ in docs if i % 4], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert kept == set(range(200)) | {300, 305}
+    now, columns = spark.read.parquet(str(tmp_path / "documents.parquet")), table.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == columns
+    text = {r.doc_id: r for r in now.collect()}[305]
+    assert text.text.endswith("[secret]") and text.n_chars == len(text.text)
+    empty = table.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []
