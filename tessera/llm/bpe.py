@@ -10,7 +10,7 @@ Whether two neighbouring tokens stay apart is found by undoing their merges alon
 first, and remembered.
 
 Null and empty texts encode to no tokens.  The vocabulary file's path is a parameter.  The cache of
-encoded words has a fixed size and is emptied when full, so memory follows neither corpus nor text.
+encoded words has two generations of fixed size, so memory follows neither corpus nor text.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from tessera.llm import kernels as K
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as the pattern means it: Unicode's White_Space, without the separators 0x1C to 0x1F.
 _SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Words that a task remembers at most, and pairs of tokens.
-CACHE_WORDS, CACHE_PAIRS = 400_000, 1_000_000
+#: Words in each of two generations that a worker remembers, and pairs of tokens.
+CACHE_WORDS, CACHE_PAIRS = 300_000, 1_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -74,15 +74,48 @@ class Encoder:
         self.word_pattern = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:(?!{_SPACE})[^\p{{L}}\p{{N}}])").replace(r"\s+(?!\S)", rf"{_SPACE}+(?!(?!{_SPACE})[\s\S])").replace(r"\s+", rf"{_SPACE}+"))
         self.special_pattern = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(v.special, key=len, reverse=True))) if v.special else None
         self.cache: dict[str, str] = {}
+        self.old: dict[str, str] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.whole_of: dict[int, bool] = {}
-        ends: dict[int, set[int]] = {}
-        for b in v.id_of:
-            ends.setdefault(b[-1], set()).add(len(b))
-        #: Lengths of the tokens that end in a byte, longest first.
-        self.lengths = {k: sorted(x, reverse=True) for k, x in ends.items()}
+        self._build_suffixes()
         self.bytes_of_text = {str(i): b for i, b in v.decode_of.items()}
 
+    def _build_suffixes(self) -> None:
+        """An Aho-Corasick automaton of the tokens: ``go[state << 8 | byte]``, and for each state the tokens
+        that end there with their lengths, longest first."""
+        go: dict[int, int] = {}
+        at_state: list[int | None] = [None]
+        depth = [0]
+        for b, t in self.vocabulary.id_of.items():
+            s = 0
+            for x in b:
+                k = s << 8 | x
+                s = go.get(k, -1)
+                if s < 0:
+                    s = go[k] = len(at_state)
+                    at_state.append(None)
+                    depth.append(depth[k >> 8] + 1)
+            at_state[s] = t
+        self.fail, self.ending = [0] * len(at_state), [()] * len(at_state)
+        self.go = go
+        for k, s in sorted(go.items(), key=lambda e: depth[e[1]]):
+            parent = k >> 8
+            if parent:
+                f = self.fail[parent]
+                while f and (f << 8 | k & 255) not in go:
+                    f = self.fail[f]
+                self.fail[s] = go.get(f << 8 | k & 255, 0)
+            own = ((at_state[s], depth[s]),) if at_state[s] is not None else ()
+            self.ending[s] = own + self.ending[self.fail[s]]
+
+    def _step(self, state: int, byte: int) -> int:
+        """The transition by ``byte``, remembered once it is found over suffixes."""
+        f = state
+        while f and (f << 8 | byte) not in self.go:
+            f = self.fail[f]
+        self.go[state << 8 | byte] = found = self.go.get(f << 8 | byte, 0)
+        return found
+
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether BPE over the bytes of a and b ends in exactly a, b."""
         known = self.apart.get((a, b))
@@ -109,9 +142,10 @@ class Encoder:
     def encode_words(self, words: Iterable[str]) -> dict[str, str]:
         """Comma-joined ids of each word."""
         pairs = sorted((w.encode("utf-8", "surrogatepass"), w) for w in words)
-        id_of, lengths, apart, stay_apart, parts = self.vocabulary.id_of, self.lengths, self.apart, self.stay_apart, self.vocabulary.bytes_of
+        go, ending, apart, stay_apart, whole = self.go, self.ending, self.apart, self.stay_apart, self.whole
         token: list[int] = [0]  # token[i]: last token of the first i bytes
         back: list[int] = [0]  # back[i]: where that token starts
+        state: list[int] = [0]  # state[i]: the longest suffix of these bytes that some token starts with
         before, out = b"", {}
         for word, text in pairs:
             n, k = len(word), 0
@@ -121,16 +155,15 @@ class Encoder:
             else:
                 while word[k] == before[k]:
                     k += 1
-            del token[k + 1 :], back[k + 1 :]
+            del token[k + 1 :], back[k + 1 :], state[k + 1 :]
+            s = state[k]
             for i in range(k + 1, n + 1):
-                for size in lengths[word[i - 1]]:
-                    if size > i:
-                        continue
-                    t = id_of.get(word[i - size : i])
-                    if t is None:
-                        continue
+                s, last = go.get(s << 8 | word[i - 1], -1), s
+                if s < 0:
+                    s = self._step(last, word[i - 1])
+                for t, size in ending[s]:
                     if size == i:
-                        if self.whole(t):
+                        if whole(t):
                             break
                         continue
                     pair = (token[i - size], t)
@@ -143,6 +176,7 @@ class Encoder:
                     raise ValueError("the vocabulary lacks a byte")
                 token.append(t)
                 back.append(i - size)
+                state.append(s)
             ids, at = [], n
             while at:
                 ids.append(token[at])
@@ -180,9 +214,12 @@ class Encoder:
         """Comma-joined ids of each text."""
         pieces = [self.pieces(t) for t in texts]
         new = set().union(*pieces) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
+        if len(self.cache) + len(new) > CACHE_WORDS:  # what is in use stays for another generation
+            self.old, self.cache = self.cache, {}
             new = set().union(*pieces)
+        for w in [w for w in new if w in self.old]:
+            self.cache[w] = self.old[w]
+            new.discard(w)
         if len(self.apart) > CACHE_PAIRS:
             self.apart.clear()
         for s, i in self.vocabulary.special.items():
