@@ -33,7 +33,7 @@ def six(name: str):
 
 _PART_CO = "pc AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey)"
 _SUPP_CO = "o AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), sc AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*)::DOUBLE AS weight FROM o a JOIN o b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)"
-_THIN = "l AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_orderkey % 11 = 0 AND l_partkey % 3 = 0), th AS (SELECT a AS src, b AS dst FROM l UNION SELECT b, a FROM l)"
+_LINES = "ln AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem), th AS (SELECT a.o * 8 + a.n AS src, b.o * 8 + b.n AS dst FROM ln a JOIN ln b ON a.o = b.o AND abs(a.n - b.n) = 1), isl AS (SELECT o * 8 + n AS id, o, n, n - row_number() OVER (PARTITION BY o ORDER BY n) AS g FROM ln)"
 _FLOWS = "fl AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS src, event_type AS dst, count(*)::DOUBLE AS weight FROM events GROUP BY ALL)"
 #: A user's day as five numbers: its normalised flow to each event type, 0 where there is none.
 _COORDS = f"""{_FLOWS},
@@ -190,16 +190,17 @@ def neighbours(spark, sf_dir):
     return T.part_co_orders(spark, sf_dir).neighbours(spark.range(1, 4))
 
 
-@query(f"WITH {_THIN}, s AS (SELECT min(src) AS id FROM th), h AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT dst, 1 FROM th JOIN s ON src = id UNION ALL SELECT b.dst, 2 FROM th a JOIN s ON a.src = s.id JOIN th b ON a.dst = b.src) SELECT id, min(hop) AS hop FROM h GROUP BY id")
+@query(f"WITH {_LINES} SELECT id, (n - 1)::INT AS hop FROM isl WHERE g = 0 AND n <= 3")
 def two_hop(spark, sf_dir):
-    g = T.thin_order_parts(spark, sf_dir)
-    return g.levels(g.edges.agg(F.min("src").alias("id")), 2)
+    """Within two steps of the first lines."""
+    g = T.line_chains(spark, sf_dir)
+    return g.levels(g.nodes.where("id % 8 = 1"), 2)
 
 
-@query(f"WITH RECURSIVE {_THIN}, s AS (SELECT min(src) AS id FROM th), w AS (SELECT id, 0 AS hop FROM s UNION SELECT th.dst, w.hop + 1 FROM w JOIN th ON th.src = w.id WHERE w.hop < 40) SELECT id, min(hop) AS hop FROM w GROUP BY id")
+@query(f"WITH {_LINES} SELECT id, (n - 1)::INT AS hop FROM isl WHERE g = 0")
 def bfs_levels(spark, sf_dir):
-    g = T.thin_order_parts(spark, sf_dir)
-    return g.levels(g.edges.agg(F.min("src").alias("id")))
+    g = T.line_chains(spark, sf_dir)
+    return g.levels(g.nodes.where("id % 8 = 1"))
 
 
 @query(f"WITH {_PART_CO}, k AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part WHERE p_partkey % 5 = 0) SELECT a.n AS src, b.n AS dst FROM pc JOIN k a ON a.id = src JOIN k b ON b.id = dst")
@@ -208,18 +209,18 @@ def induced_subgraph(spark, sf_dir):
     return T.part_co_orders(spark, sf_dir).subgraph(keep).relabelled()[0].edges
 
 
-_COMPONENTS = f"""WITH RECURSIVE {_THIN}, w AS (SELECT src AS id, src AS r FROM th UNION SELECT th.dst, w.r FROM w JOIN th ON th.src = w.id),
-m AS (SELECT id, min(r) AS root FROM w GROUP BY id), z AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS component FROM m GROUP BY root)"""
+_COMPONENTS = f"""WITH {_LINES}, m AS (SELECT id, min(id) OVER (PARTITION BY o, g) AS root FROM isl),
+z AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS component FROM m GROUP BY root)"""
 
 
 @query(f"{_COMPONENTS} SELECT id, component FROM m JOIN z USING (root)")
 def components(spark, sf_dir):
-    return T.thin_order_parts(spark, sf_dir).components()
+    return T.line_chains(spark, sf_dir).components()
 
 
 @query(f"{_COMPONENTS} SELECT src, dst FROM th JOIN m ON m.id = src JOIN z USING (root) WHERE component = 0")
 def lcc(spark, sf_dir):
-    return T.thin_order_parts(spark, sf_dir).lcc().edges
+    return T.line_chains(spark, sf_dir).lcc().edges
 
 
 def _mod_partition(spark, sf_dir) -> DataFrame:
@@ -341,3 +342,142 @@ def results_mean_std(spark, sf_dir):
 def results_best(spark, sf_dir):
     dims = spark.sql("SELECT * FROM VALUES (2), (4), (6), (99) AS d(dim)")
     return score.best(_results(spark, sf_dir), dims, "auc")
+
+
+# ---- patch graphs, partitions, alignment --------------------------------------------------------
+
+
+@query("SELECT unnest(range(n_nationkey, n_nationkey * 2))::BIGINT AS value FROM nation")
+def multi_arange(spark, sf_dir):
+    from tessera.operators.thin import multi_arange as run
+
+    n = T.table(spark, sf_dir, "nation")
+    return run(n.select(F.col("n_nationkey").cast("long").alias("start"), (F.col("n_nationkey") * 2).cast("long").alias("stop")))
+
+
+@query(f"""WITH {_PART_CO}, m AS (SELECT p_partkey AS node, p_partkey % 7 AS patch FROM part UNION SELECT p_partkey, (p_partkey % 7 + 1) % 7 FROM part WHERE p_partkey % 3 = 0)
+SELECT round(count(*) / (SELECT count(*) FROM pc), 6) AS ratio FROM pc JOIN m a ON a.node = src JOIN m b ON b.node = dst AND b.patch = a.patch""")
+def oversampling_ratio(spark, sf_dir):
+    from tessera.operators.partition import oversampling_ratio as run
+
+    own = _mod_partition(spark, sf_dir).select(F.col("cluster").alias("patch"), F.col("id").alias("node"))
+    more = own.where("node % 3 = 0").select(((F.col("patch") + 1) % 7).alias("patch"), "node")
+    return run(T.part_co_orders(spark, sf_dir), own.unionByName(more).distinct()).select(six("ratio"))
+
+
+_STEP = "SELECT id, seed, sum(v) AS v FROM (SELECT id, seed, v / 2 AS v FROM x{a} UNION ALL SELECT w.dst, seed, w.w * v FROM x{a} JOIN w ON w.src = x{a}.id) GROUP BY ALL"
+
+
+@query(f"""WITH {_SUPP_CO}, s AS (SELECT src AS id, sum(weight) AS s FROM sc GROUP BY 1), w AS (SELECT src, dst, weight / sqrt(a.s * b.s) / 2 AS w FROM sc JOIN s a ON a.id = src JOIN s b ON b.id = dst),
+x0 AS (SELECT id, id AS seed, 1 / sqrt(s) AS v FROM s WHERE id % 20 = 3), x1 AS ({_STEP.format(a=0)}), x2 AS ({_STEP.format(a=1)}), x3 AS ({_STEP.format(a=2)})
+SELECT id, arg_max(seed, (round(v, 12), -seed)) AS cluster FROM x3 GROUP BY id""")
+def diffusion_clusters(spark, sf_dir):
+    from tessera.operators.partition import diffusion
+
+    g = T.supplier_co_orders(spark, sf_dir)
+    return diffusion(g, g.nodes.where("id % 20 = 3"), 3)
+
+
+@query()
+def resistance_sparsified(spark, sf_dir):
+    from tessera.operators.thin import resistance_sparsify
+
+    return resistance_sparsify(T.supplier_co_orders(spark, sf_dir)).edges
+
+
+@query()
+def sample_sparsified(spark, sf_dir):
+    from tessera.operators.thin import sample_sparsify
+
+    return sample_sparsify(T.supplier_co_orders(spark, sf_dir)).edges
+
+
+@query()
+def neighbour_sparsified(spark, sf_dir):
+    from tessera.operators.thin import neighbour_sparsify
+
+    return neighbour_sparsify(T.supplier_co_orders(spark, sf_dir)).edges
+
+
+@query()
+def relaxed_tree(spark, sf_dir):
+    from tessera.operators.thin import relaxed_tree as run
+
+    return run(T.supplier_co_orders(spark, sf_dir), gamma=0.01).edges
+
+
+@query()
+def fennel_clusters(spark, sf_dir):
+    from tessera.operators.partition import fennel
+
+    return fennel(T.line_chains(spark, sf_dir), 5)
+
+
+@query()
+def label_clusters(spark, sf_dir):
+    from tessera.operators.partition import label_propagation
+
+    return label_propagation(T.supplier_co_orders(spark, sf_dir), 5)
+
+
+@query()
+def merged_clusters(spark, sf_dir):
+    from tessera.operators.partition import merge_small
+
+    g = T.line_chains(spark, sf_dir)
+    return merge_small(g, g.nodes.select("id", F.floor(F.sqrt(F.floor(F.col("id") / 8))).alias("cluster")), 500)
+
+
+@query()
+def overlapping_patches(spark, sf_dir):
+    from tessera.operators.partition import overlapping_patches as run
+
+    part = _mod_partition(spark, sf_dir)
+    pairs = spark.range(7).select(F.col("id").alias("i"), F.explode(F.array(F.lit(1), F.lit(6))).alias("o")).select("i", ((F.col("i") + F.col("o")) % 7).alias("j"))
+    return run(T.part_co_orders(spark, sf_dir), part, pairs, 10, 40)
+
+
+@query()
+def svd_patches(spark, sf_dir):
+    from tessera.operators.embed import svd_patches as run
+
+    return run(T.daily_flows(spark, sf_dir), 2)
+
+
+def _rolling_edges(spark, coords: DataFrame, window: int) -> DataFrame:
+    patches = coords.select("patch").distinct()
+    return rolling_window_graph(patches, list(range(1, window))).where("src < dst").select(F.col("src").alias("i"), F.col("dst").alias("j"))
+
+
+@query()
+def align_global(spark, sf_dir):
+    """Distance of each user's day from its mean over all days after aligning the days to each other."""
+    from tessera.operators.align import aligned
+
+    coords = _coords(spark, sf_dir)
+    moved = aligned(coords, _rolling_edges(spark, coords, 4), 5)
+    return anomaly.local_errors(moved, anomaly.mean_coords(moved))
+
+
+@query()
+def align_temporal(spark, sf_dir):
+    from tessera.operators.align import temporal_errors
+
+    weeks = _coords(spark, sf_dir).select("node", F.floor(F.col("patch") / 7).alias("patch"), F.posexplode("coord").alias("k", "v")).groupBy("node", "patch", "k").agg(F.avg("v").alias("v"))
+    weeks = weeks.groupBy("node", "patch").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x")).select("node", "patch", F.col("x.v").alias("coord"))
+    return temporal_errors(weeks, [r.patch for r in weeks.select("patch").distinct().orderBy("patch").collect()], 5)
+
+
+@query()
+def align_windowed(spark, sf_dir):
+    from tessera.operators.align import windowed_errors
+
+    return windowed_errors(_coords(spark, sf_dir), 7, 5)
+
+
+@query()
+def gae_embedding(spark, sf_dir):
+    from tessera.operators.embed import gae_patches
+
+    edges = T.supplier_co_orders(spark, sf_dir).edges.withColumn("patch", F.lit(0).cast("long"))
+    return gae_patches(edges, 4, epochs=30)

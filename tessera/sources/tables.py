@@ -42,15 +42,16 @@ def supplier_co_orders(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
-def thin_order_parts(spark: SparkSession, sf_dir: str) -> Graph:
-    """A graph of many components: some orders (even ids) and parts (odd ids), both directions."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 11 = 0 and l_partkey % 3 = 0")
-    one = lines.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
-    return Graph(one).symmetrised()
+def line_chains(spark: SparkSession, sf_dir: str) -> Graph:
+    """A graph of many components: an order's lines (order * 8 + line), consecutive ones linked both ways."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_orderkey", "l_linenumber").distinct()
+    after = lines.select(F.col("id").alias("dst"), "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"))
+    one = lines.withColumnRenamed("id", "src").join(after, ["l_orderkey", "l_linenumber"]).select("src", "dst")
+    return Graph(Graph(one).symmetrised().edges, lines.select("id"))
 
 
 #: Data sets by name; ``register`` adds one.
-DATASETS: dict[str, Callable[[SparkSession, str], Graph]] = {"supplier_parts": supplier_parts, "part_co_orders": part_co_orders, "supplier_co_orders": supplier_co_orders, "thin_order_parts": thin_order_parts}
+DATASETS: dict[str, Callable[[SparkSession, str], Graph]] = {"supplier_parts": supplier_parts, "part_co_orders": part_co_orders, "supplier_co_orders": supplier_co_orders, "line_chains": line_chains}
 
 
 def register(name: str) -> Callable:
