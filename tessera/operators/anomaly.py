@@ -104,3 +104,38 @@ def local_outlier_factor(points: DataFrame, k: int) -> DataFrame:
     lrd = reach.groupBy("node", "p").agg((1 / (F.avg("r") + 1e-10)).alias("lrd"))
     other = lrd.select("node", F.col("p").alias("q"), F.col("lrd").alias("lrd_q"))
     return near.join(other, ["node", "q"]).join(lrd, ["node", "p"]).groupBy("node", F.col("p").alias("patch")).agg((F.avg(F.col("lrd_q") / F.col("lrd")) - 1).alias("score"))
+
+
+def isolation_forest(points: DataFrame, trees: int = 100, sample: int = 256, seed: int = 0) -> DataFrame:
+    """``(node, patch, score)``: isolation forest over a node's own coordinates; near 1 for rows that few
+    random cuts set apart, near one half or less for the others.  A node's patches are one group."""
+    import numpy as np
+    import pandas as pd
+
+    def expected(n: int) -> float:
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("patch", ignore_index=True)
+        x = np.array(rows.coord.tolist(), float)
+        rng = np.random.default_rng(seed)
+        size = min(sample, len(x))
+        depth, limit = np.zeros(len(x)), int(np.ceil(np.log2(max(2, size))))
+        for _ in range(trees):
+            drawn = rng.choice(len(x), size, replace=False)
+            work = [(drawn, np.arange(len(x)), 0)]
+            while work:
+                inside, passing, d = work.pop()
+                low, high = (x[inside].min(axis=0), x[inside].max(axis=0)) if len(inside) else (np.zeros(1), np.zeros(1))
+                open_ = np.flatnonzero(high > low)
+                if d >= limit or len(inside) < 2 or not len(open_):
+                    depth[passing] += d + expected(len(inside))
+                    continue
+                k = rng.choice(open_)
+                cut = rng.uniform(low[k], high[k])
+                for left in (True, False):
+                    work.append((inside[(x[inside, k] < cut) == left], passing[(x[passing, k] < cut) == left], d + 1))
+        score = 2.0 ** (-depth / trees / max(expected(size), 1e-9)) if len(x) > 1 else np.zeros(len(x))
+        return pd.DataFrame({"node": rows.node, "patch": rows.patch, "score": score})
+
+    return points.select("node", "patch", "coord").groupBy("node").applyInPandas(run, "node long, patch long, score double")

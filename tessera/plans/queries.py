@@ -481,3 +481,8 @@ def gae_embedding(spark, sf_dir):
 
     edges = T.supplier_co_orders(spark, sf_dir).edges.withColumn("patch", F.lit(0).cast("long"))
     return gae_patches(edges, 4, epochs=30)
+
+
+@query()
+def isolation_forest(spark, sf_dir):
+    return anomaly.isolation_forest(_coords(spark, sf_dir))

@@ -202,3 +202,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {tuple(r) for r in spark.sql("SELECT * FROM days").collect()}
     assert got == {tuple(r) for r in tables.daily_flows(spark, "/root/testdata/sf0.001").select("day", "src", "dst", "weight").collect()}
+
+
+def test_isolation_forest_finds_the_outlier(spark):
+    from tessera.operators.anomaly import isolation_forest
+
+    rng = np.random.default_rng(7)
+    rows = [(n, p, (rng.normal(size=3) + (9 if (n, p) in ((1, 4), (2, 20)) else 0)).tolist()) for n in (1, 2) for p in range(40)] + [(3, 0, [1.0, 2.0, 3.0])]
+    got = isolation_forest(spark.createDataFrame(rows, "node long, patch long, coord array<double>")).toPandas()
+    assert len(got) == 81
+    top = got.loc[got[got.node < 3].groupby("node").score.idxmax()]
+    assert list(zip(top.node, top.patch, strict=True)) == [(1, 4), (2, 20)]
