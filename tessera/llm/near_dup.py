@@ -8,7 +8,7 @@ nothing.  Two documents are linked when ``100 * intersection >= percent * union`
    aggregate finds each class and its smallest id, so a thousand copies cost one shuffled row a task.
 2. A class has 128 registers: of the shingles in a bucket the smallest hash counts, stored as its
    leading-zero count and the ten bits after its first one bit (16 bits).
-3. Bands of five registers give keys; classes that share a key meet.  A group up to ``SMALL`` classes
+3. Bands of registers give keys (``banding``); classes that share a key meet.  A group up to ``SMALL`` classes
    yields its pairs, which pass a collision-corrected estimate before their full sets are compared.
 4. A larger group is never expanded into pairs.  A pivot, the class whose registers agree best with the
    most usual ones, is compared with each member exactly.  Members linked to it are connected.  For the
@@ -19,7 +19,8 @@ nothing.  Two documents are linked when ``100 * intersection >= percent * union`
    them.  A small enough group is settled in a task from the differences alone, which give exact
    intersections; larger ones get a pivot of their own.
 
-Pairs that meet in no band are missed with probability (1 - s^5)^25 at similarity s: 4e-7 at 0.85.
+Pairs that meet in no band are missed with probability (1 - s^width)^bands at similarity s.  The width is
+chosen by the threshold: 25 bands of five miss 4e-7 at 0.85, 32 bands of four 5e-8 at 0.80.
 Everything else is exact, and no group has a cap.
 
 Nulls: a null text counts as empty; rows without an id are dropped from the links, as nothing could
@@ -41,7 +42,9 @@ from tessera.llm import kernels as K
 from tessera.operators.components import component_labels
 from tessera.plans.iterate import cut
 
-REGISTERS, BAND, BANDS, MANTISSA = 128, 5, 25, 10
+REGISTERS, BAND, MANTISSA = 128, 5, 10
+#: Probability with which the bands may miss a pair at the threshold.
+MISS = 5e-7
 #: Classes in a group that is compared pair by pair.
 SMALL = 32
 #: Members of a group whose differences one task compares, and bytes of these differences.
@@ -66,10 +69,18 @@ def registers(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys of a document's registers; 0 where all registers of a band are empty."""
-    use = regs[: BAND * BANDS].reshape(BANDS, BAND).astype(np.uint64)
-    key = K.mix((use * K.constants(BAND, 3)).sum(axis=1, dtype=np.uint64) + K.constants(BANDS, 4))
+def banding(percent: int, places: int = REGISTERS) -> tuple[int, int]:
+    """The widest bands, ``BAND`` at most, that miss a pair at the threshold with probability ``MISS`` at most, and their number."""
+    for width in range(BAND, 1, -1):
+        if (1 - (percent / 100) ** width) ** (places // width) <= MISS:
+            return width, places // width
+    return 1, places
+
+
+def band_keys(regs: np.ndarray, width: int, bands: int) -> np.ndarray:
+    """Keys of the bands of a document's registers; 0 where all registers of a band are empty."""
+    use = regs[: width * bands].reshape(bands, width).astype(np.uint64)
+    key = K.mix((use * K.constants(width, 3)).sum(axis=1, dtype=np.uint64) + K.constants(bands, 4))
     return np.where(use.any(axis=1), key | np.uint64(1), np.uint64(0))
 
 
@@ -227,12 +238,17 @@ def _forest(percent: int):
     return run
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, regs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        keys = np.array([band_keys(np.frombuffer(r, np.uint16)) for r in regs], np.uint64).reshape(len(regs), BANDS)
-        some = keys != 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(np.repeat(ids, BANDS).reshape(-1, BANDS)[some])], ["gid", "id"])
+def _band_rows(percent: int):
+    width, bands = banding(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, regs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            keys = np.array([band_keys(np.frombuffer(r, np.uint16), width, bands) for r in regs], np.uint64).reshape(len(regs), bands)
+            some = keys != 0
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(np.repeat(ids, bands).reshape(-1, bands)[some])], ["gid", "id"])
+
+    return run
 
 
 def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85, groups: DataFrame | None = None) -> DataFrame:
@@ -242,10 +258,10 @@ def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85, g
     ``groups (gid, id)`` says which classes meet, where that isn't for the bands of the sketch to say.
     """
     if groups is None:
-        groups = reps.select("id", "regs").mapInArrow(_band_rows, "gid long, id long")
+        groups = reps.select("id", "regs").mapInArrow(_band_rows(percent), "gid long, id long")
     sketch = reps.select("id", "n", "regs")
     if groups is None:
-        groups = reps.select("id", "regs").mapInArrow(_band_rows, "gid long, id long")
+        groups = reps.select("id", "regs").mapInArrow(_band_rows(percent), "gid long, id long")
     groups = cut(groups.join(groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "gid"))
     near = groups.where(f"size <= {SMALL}")
     pairs = near.select("gid", F.col("id").alias("a")).join(near.select("gid", F.col("id").alias("b")), "gid").where("a < b").select("a", "b").distinct()

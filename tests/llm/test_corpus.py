@@ -94,6 +94,27 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, block):
     assert got == links_of(docs)
 
 
+@pytest.mark.parametrize("small,block", [(32, 1200), (8, 24)])
+def test_near_duplicates_at_80(spark, monkeypatch, small, block):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(15)
+    texts = [t for _ in range(30) for t in family(rng, prose(rng, 60), 3, 1)] + family(rng, prose(rng, 100), 60, 3)
+    docs = list(enumerate(texts))
+    want = links_of(docs, 80)
+    assert want != links_of(docs)
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, docs), percent=80).collect()}
+    assert got == want
+
+
+def test_bands_hold_their_miss_at_the_threshold():
+    assert near_dup.banding(85) == (5, 25) and near_dup.banding(80) == (4, 32)
+    for percent in (60, 70, 80, 85, 95):
+        for places in (64, 128):
+            width, bands = near_dup.banding(percent, places)
+            assert width * bands <= places and (1 - (percent / 100) ** width) ** bands <= near_dup.MISS
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dup.near_duplicates(frame(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -411,6 +432,18 @@ def test_bpe_where_a_token_is_never_reached(tmp_path):
 # ---- pipeline ------------------------------------------------------------------------------------
 
 
+def test_pipeline_drops_near_copies_from_80(spark):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    base = prose(rng, 60).split()
+    copy = " ".join([*base[:30], "changed", *base[31:]])
+    a, b = shingles(" ".join(base)), shingles(copy)
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, copy), (3, prose(rng, 60))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
