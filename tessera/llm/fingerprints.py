@@ -24,7 +24,6 @@ from tessera.llm import kernels as K
 from tessera.plans.iterate import cut
 
 PERMUTATIONS = 64
-BANDS = 16
 #: Documents in a block of the order by id, and the most blocks.
 BLOCK_ROWS, MOST_BLOCKS = 250, 10_000
 _A = K.constants(PERMUTATIONS, 31)
@@ -65,23 +64,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def similar_pairs(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``: ``members (id, class_id)`` joins documents of equal shingle sets; ``pairs (a, b,
-    jaccard)`` holds links between classes that share a band and whose sets reach ``percent``.
+    """``(members, pairs)``: ``members (id, class_id, links)`` joins documents of equal shingle sets and counts
+    the links of their class; ``pairs (a, b, jaccard)`` holds all links between classes that share a band and
+    whose sets reach ``percent``, ``a < b``.
 
-    Copies are one class before the bands are joined.  Of a large group of similar texts the pairs are enough
-    to connect all that are linked, as in ``near_dup``, not all of them.  A text without words is in no class.
+    Copies are one class before the bands are joined.  The bands are as wide as ``near_dup.banding`` allows for
+    the threshold, which bounds the share of pairs that meet in none.  A text without words is in no class.
     """
     from tessera.llm import near_dup
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = cut(near_dup.sketches(rows, "id"))
     classes = cut(near_dup.classes_of(sketch))
-    members = sketch.where("id is not null").join(classes.select("key", F.col("id").alias("class_id")), "key").select("id", "class_id")
     marks = fingerprints(rows.join(classes.select("id"), "id", "left_semi"), "id")
-    size = 2 * PERMUTATIONS // BANDS
-    bands = marks.select("id", F.posexplode(F.array(*(F.expr(f"substring(signature, {i * size + 1}, {size})") for i in range(BANDS)))).alias("band", "key"))
-    links = near_dup.near_duplicate_links(rows, classes.select("id", "n", "regs"), percent, bands.select(F.xxhash64("band", "key").alias("gid"), "id").distinct())
-    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    width, n = near_dup.banding(percent, PERMUTATIONS)
+    bands = marks.select("id", F.posexplode(F.array(*(F.expr(f"substring(signature, {2 * i * width + 1}, {2 * width})") for i in range(n)))).alias("band", "key"))
+    links = near_dup.near_duplicate_links(rows, classes.select("id", "n", "regs"), percent, bands.select(F.xxhash64("band", "key").alias("gid"), "id").distinct(), every=True)
+    ends = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    often = ends.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    named = classes.select("key", F.col("id").alias("class_id")).join(often, "class_id", "left").select("key", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    members = sketch.where("id is not null").join(named, "key").select("id", "class_id", "links")
     full = near_dup._sets_of(rows, ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct())
     both = ends.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return members, both.mapInArrow(_jaccard, "a long, b long, jaccard double")

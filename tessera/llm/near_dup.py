@@ -198,9 +198,10 @@ def _differences(percent: int):
     return run
 
 
-def _forest(percent: int):
+def _settled(percent: int, every: bool):
     """Links within a bounded group, exactly, from its members' differences to one pivot: the symmetric
-    difference of two members is that of their differences.  At most size - 1 links come out."""
+    difference of two members is that of their differences.  With ``every`` all links come out, else a
+    forest of at most size - 1.  Where rows have a ``block``, only links between the two blocks count."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
@@ -223,6 +224,11 @@ def _forest(percent: int):
         apart = size[:, None] + size[None, :] - 2 * shared.astype(np.int64)
         union = (n[:, None] + n[None, :] + apart) // 2
         near = 100 * (union - apart) >= percent * union
+        if every:
+            if "block" in rows and rows.block.nunique() > 1:
+                near &= rows.block.to_numpy()[:, None] != rows.block.to_numpy()[None, :]
+            x, y = np.nonzero(np.triu(near, 1))
+            return pd.DataFrame({"a": ids[x], "b": ids[y]}, dtype="int64")
         left, links = np.ones(len(ids), bool), []
         while left.any():  # breadth first from the smallest member that is left
             front = [int(np.flatnonzero(left)[0])]
@@ -251,8 +257,9 @@ def _band_rows(percent: int):
     return run
 
 
-def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85, groups: DataFrame | None = None) -> DataFrame:
-    """Links ``(a, b)`` between classes: enough of them that linked classes are connected.
+def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85, groups: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """Links ``(a, b)`` between classes: enough of them that linked classes are connected, or with ``every``
+    all between classes that meet.  Their order within a link is not fixed.
 
     ``reps (id, n, regs)`` has the sketch of each class's representative, ``texts (id, text)`` its text.
     ``groups (gid, id)`` says which classes meet, where that isn't for the bands of the sketch to say.
@@ -280,17 +287,19 @@ def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85, g
         against = members.join(full, "id").join(full.toDF("pivot", "pivot_set"), "pivot").select("id", "pivot", "set", "pivot_set")
         against = cut(against.mapInArrow(_differences(percent), "id long, pivot long, linked boolean, n long, diff binary, keys array<long>"))
         links.append(against.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        # A group goes on if it has a member that isn't linked to its pivot: in one task if that can hold
+        # A group goes on if it has a member that isn't linked to its pivot, or all links count: in one task if that can hold
         # its differences, else by their elements.
-        sizes = against.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("diff")).alias("bytes"), F.max(~F.col("linked")).alias("open")).where("size > 1 and open")
+        sizes = against.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("diff")).alias("bytes"), F.max(~F.col("linked")).alias("open")).where("size > 1" if every else "size > 1 and open")
         held = F.expr(f"size <= {BLOCK} and bytes <= {BLOCK_BYTES}")
         whole = against.join(sizes.where(held).select("pivot"), "pivot")
-        links.append(whole.select(F.col("pivot").alias("gid"), "id", "n", "diff").groupBy("gid").applyInPandas(_forest(percent), "a long, b long"))
+        links.append(whole.select(F.col("pivot").alias("gid"), "id", "n", "diff").groupBy("gid").applyInPandas(_settled(percent, every), "a long, b long"))
+        if every:  # the elements below don't bring two members together that are both linked to the pivot
+            links.append(_tiled(against.where("linked").join(sizes.where(~held).select("pivot"), "pivot"), percent))
         rest = against.join(sizes.where(~held).select("pivot"), "pivot").select(F.explode("keys").alias("gid"), "id", "pivot", F.expr("not linked").alias("open"), F.expr("length(diff)").alias("bytes"))
         sizes = rest.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"), F.max("open").alias("open")).where("size > 1 and open")
         rest = cut(rest.select("gid", "id", "pivot").join(sizes.select("gid", "size", F.expr(f"size <= {BLOCK} and total <= {BLOCK_BYTES}").alias("held")), "gid"))
         close = rest.where("held").join(against.select("id", "pivot", "n", "diff"), ["id", "pivot"])
-        links.append(close.select("gid", "id", "n", "diff").groupBy("gid").applyInPandas(_forest(percent), "a long, b long"))
+        links.append(close.select("gid", "id", "n", "diff").groupBy("gid").applyInPandas(_settled(percent, every), "a long, b long"))
         large = rest.where("not held").select("gid", "id", "size")
     else:
         raise RuntimeError("groups did not fall apart")
@@ -300,6 +309,16 @@ def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85, g
     return cut(out.distinct())
 
 
+def _tiled(linked: DataFrame, percent: int) -> DataFrame:
+    """All links within groups ``(pivot, id, n, diff)`` that no task holds: dealt into blocks of half a
+    task's share, of which each pair is compared in a task."""
+    per = linked.groupBy("pivot").agg(F.expr(f"int(ceil(2 * greatest(count(*) / {BLOCK}, sum(length(diff)) / {BLOCK_BYTES})))").alias("blocks"))
+    rows = linked.select("pivot", "id", "n", "diff").join(per, "pivot").withColumn("block", F.expr("int(pmod(xxhash64(id), blocks))"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("pivot", F.expr("least(block, other)").alias("i"), F.expr("greatest(block, other)").alias("j"), "id", "n", "diff", "block")
+    return rows.groupBy("pivot", "i", "j").applyInPandas(_settled(percent, True), "a long, b long")
+
+
 def _pivots_of(large: DataFrame, reps: DataFrame) -> DataFrame:
     """``(gid, pivot)`` for groups ``(gid, id, size)``."""
     # Members whose hash is low enough: the same ones in each group, so that groups of one family agree.

@@ -186,6 +186,29 @@ def test_similar_pairs(spark):
     assert [(r.a, r.b) for r in pairs.collect()] == [(0, 2)]
 
 
+@pytest.mark.parametrize("small,block", [(32, 1200), (8, 24)])
+def test_similar_pairs_of_large_families(spark, monkeypatch, small, block):
+    """All links come out, whether a group is settled in one task, in blocks or by elements."""
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(17)
+    texts = family(rng, prose(rng, 200), 90, 4) + family(rng, prose(rng, 300), 40, 1) + [prose(rng, 50) for _ in range(10)]
+    docs = list(enumerate(texts))
+    sets, first = {i: shingles(t) for i, t in docs}, {}
+    for i, t in docs:
+        first.setdefault(frozenset(sets[i]), i)
+    want = {}
+    for a, b in combinations(sorted(first.values()), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * len(sets[a] | sets[b]):
+            want[a, b] = both / len(sets[a] | sets[b])
+    members, pairs = fingerprints.similar_pairs(frame(spark, docs))
+    got = pairs.collect()
+    assert len(got) == len(want) > 3 * len(texts) and {(r.a, r.b): r.jaccard for r in got} == pytest.approx(want)
+    often = {i: sum(i in p for p in want) for i in first.values()}
+    assert {r.id: (r.class_id, r.links) for r in members.collect()} == {i: (first[frozenset(sets[i])], often[first[frozenset(sets[i])]]) for i, _ in docs}
+
+
 # ---- 1 -------------------------------------------------------------------------------------------
 
 
