@@ -109,6 +109,25 @@ def test_partitions(spark):
         partition.overlapping_patches(g, two, pairs, 20, 40)
 
 
+def greedy(nodes, edges, k, load, gamma):
+    n, cluster, size = len(nodes), {}, [0] * k
+    alpha = len(edges) * k ** (gamma - 1) / n**gamma
+    for v in sorted(nodes):
+        gain = [sum(a == v and cluster.get(b) == c for a, b in edges) - alpha * gamma * size[c] ** (gamma - 1) if size[c] + 1 <= load * n / k else -np.inf for c in range(k)]
+        cluster[v] = int(np.argmax(gain))
+        size[cluster[v]] += 1
+    return cluster
+
+
+def test_fennel_assigns_isolated_nodes(spark):
+    edges = [(a, b) for a, b, _ in both(TRIANGLES)]
+    nodes = [-4, *range(6), 2**60, 2**60 + 1, 50, 51, 52]
+    g = Graph(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(i,) for i in nodes], "id long"))
+    assert dict(map(tuple, partition.fennel(g, 3).collect())) == greedy(nodes, edges, 3, 1.1, 1.5)
+    alone = Graph(spark.createDataFrame([], "src long, dst long"), g.nodes)
+    assert {r.id for r in partition.fennel(alone, 3).collect()} == set(nodes)
+
+
 def hidden_patches(rng, dim=3, n=12, size=60):
     """A path of patches with a hub, each under its own scale, rotation and translation."""
     cloud = rng.normal(size=(n * 44 + 100, dim))
