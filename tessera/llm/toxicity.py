@@ -32,8 +32,8 @@ from tessera.llm import kernels as K
 SAMPLE_ROWS = 8_000
 #: Entries of the lexicon, at most, and the lengths of word beginnings that can become one.
 LEXICON, STEMS = 400, (3, 4, 5, 6, 7, 8)
-#: Occurrences that count in one text, and code points by which copies in the sample are told: of texts that open alike one counts.
-MOST_IN_TEXT, OPENING = 3, 100
+#: Occurrences that count in one text.
+MOST_IN_TEXT = 3
 # Closed word classes in English, German, French and Spanish.
 THREATS = "kill murder hurt destroy stab strangle töten umbringen erschlagen tuer égorger frapper matar golpear destruir".split()
 TARGETS = "you your yours he she they him her them his their du dich dein deine ihr euch sie er tu toi ton ta vous votre il elle ils eux tú ti vosotros usted ustedes él ella ellos".split()
@@ -148,10 +148,12 @@ _COUNTS = ("form", "stem", "toxic", "clean", "toxic_often", "clean_often")
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text, toxic)`` of at most ``rows`` labelled documents for which ``allowed`` holds of ``id``."""
+    """``(id, text, toxic)`` of at most ``rows`` labelled documents for which ``allowed`` holds of ``id``; of rows
+    with equal texts and labels the one with the smallest id."""
     picked = labels.select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(allowed)
     picked = picked.orderBy(F.md5(F.col("id").cast("string")), "id").limit(rows)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").groupBy(F.expr(f"substring(coalesce(text, ''), 1, {OPENING})")).agg(F.min(F.struct("id", "text", "toxic")).alias("r")).select("r.*")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
+    return texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.col("toxic").alias("label")).agg(F.min(F.struct("id", "text", "toxic")).alias("r")).select("r.*")
 
 
 def learn_lexicon(sample: DataFrame) -> list[Entry]:

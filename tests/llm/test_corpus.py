@@ -386,6 +386,23 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(r.toxicity < 0.5 for r in toxicity.scored(frame(spark, ODD), none).collect())
 
 
+def test_toxicity_sample_tells_copies_by_the_whole_text_and_label(spark):
+    """Texts under one banner are rows of their own, a toxic one beside its clean twin as well."""
+    rng = random.Random(18)
+    banner = "This page was brought to you by the morning harbour post and by its many readers all over the wide country. " * 2
+    docs = [(i, banner + prose(rng, 30)) for i in range(180)]
+    docs += [(200 + i, docs[i][1] + 3 * " grobble snarkish") for i in range(60)]
+    docs += [(300, docs[0][1]), (301, docs[1][1]), (302, docs[2][1])]
+    toxic = {*range(200, 260), 302}
+    labels = [(i, 1, int(i in toxic)) for i, _ in docs]
+    f, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {(r.id, r.text, r.toxic) for r in toxicity.sample_of(f, lab, F.lit(True)).collect()}
+    assert got == {(i, t, int(i in toxic)) for i, t in docs if i not in (300, 301)}
+    model = toxicity.fit(f, lab.where("doc_id <> 302"), F.lit(True))
+    score = {r.doc_id: r.toxicity for r in toxicity.scored(f, model).collect()}
+    assert all((score[i] >= 0.5) == (200 <= i < 260) for i in score)
+
+
 # ---- 7 -------------------------------------------------------------------------------------------
 
 
