@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and strings that a primed compressor finds new.
 
 The patterns find assignments to secret names, access keys and runs of hex digits.  Beyond these, a
-string in a sensitive context (near a word such as password, token or auth, or assigned or quoted after
-one) is a candidate.  Its novelty is what it adds to a zstandard frame that starts with a dictionary of
+string in a sensitive context (near a word such as password, token or auth, on either side of it) is a
+candidate.  Its novelty is what it adds to a zstandard frame that starts with a dictionary of
 common identifiers and the text around it, as a share of its own length; common names, repeated strings
 and prose compress away, random strings do not.  A candidate at or above ``NOVELTY`` is reported with the
 kind ``novel``; the patterns' spans always stay.
@@ -31,10 +31,10 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Words that make a context sensitive (fixed values).
-SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "credential", "private_key", "access_key", "auth", "bearer", "signature", "client_id", "session_id")
-_SENSITIVE = re.compile(("(?:" + "|".join(map(re.escape, SENSITIVE)) + r")s?(?![a-z])").encode(), re.I)
+SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "credential", "private_key", "private-key", "privatekey", "access_key", "access-key", "accesskey", "auth", "authorization", "bearer", "signature", "client_id", "client-id", "clientid", "session_id", "session-id", "sessionid")
+_SENSITIVE = re.compile(("(?:" + "|".join(map(re.escape, SENSITIVE)) + r")s?(?-i:(?![a-z]))").encode(), re.I)
 _STRING = re.compile(rb"[A-Za-z0-9][A-Za-z0-9+/_.=~-]{11,}")
-#: Bytes after a sensitive word in which a candidate starts, and bytes of text that prime the compressor on each side.
+#: Bytes after a sensitive word in which a candidate starts, or before it in which one ends, and bytes of text that prime the compressor on each side.
 REACH, AROUND = 48, 256
 #: Bytes that a candidate must add for each byte of its own.
 NOVELTY = 0.72
@@ -95,17 +95,27 @@ def base_spans(data: bytes) -> list[Span]:
 
 
 def novel_spans(data: bytes, base: list[Span], novelty: float = NOVELTY) -> list[Span]:
-    """Candidates in a sensitive context that no pattern covers and that stay incompressible."""
+    """Candidates in a sensitive context that no pattern covers and that stay incompressible.
+
+    A run of string characters that reaches into the word itself is part of the word's own name, and no
+    candidate before it."""
     out: list[Span] = []
     done = 0
     for m in _SENSITIVE.finditer(data):
+        near = []
+        if done < m.start():  # strings that end in reach before the word, from where the last one ended
+            for c in _STRING.finditer(data, done, m.start()):
+                if m.start() - REACH < c.end() < m.start():
+                    near.append(c)
         reach = m.end() + REACH
         for c in _STRING.finditer(data, m.end()):
-            if c.start() >= reach or c.start() < done:
-                if c.start() >= reach:
-                    break
-                continue
-            done = c.end()
+            if c.start() >= reach:
+                break
+            if c.start() >= done:
+                near.append(c)
+        done = max(done, m.end())
+        for c in near:
+            done = max(done, c.end())
             if not _mixed(c.group()) or any(s.start < c.end() and c.start() < s.end for s in base):
                 continue
             if _novelty.of(data[max(0, c.start() - AROUND) : c.start()], c.group(), data[c.end() : c.end() + AROUND]) >= novelty:

@@ -316,6 +316,23 @@ def test_novel_strings_and_masks(spark):
     assert secret_scan.scan_secrets(frame(spark, [])).collect() == []
 
 
+KEY = "q7Rk2ZpX9vLm4TbW8sYd"
+
+
+@pytest.mark.parametrize("form", ['secretKey = "{}"', 'apiKeyProd: "{}"', 'tokenValue="{}"', 'privateKey = "{}"', "accessKey {}", "Authorization: Basic {}", "{} is the client-id", '"{}", # the old token'])
+def test_sensitive_context_in_all_forms(form):
+    text = "é " + form.format(KEY)
+    at = text.index(KEY)
+    assert [(s.kind, s.start, s.end) for s in secret_scan.spans_of(text)] == [("novel", at, at + len(KEY))]
+
+
+def test_words_that_are_no_context():
+    for text in (f"the author {KEY}", f"{KEY}_token", f"{KEY} " + "so " * 20 + "token", f"secretary {KEY}"):
+        assert secret_scan.spans_of(text) == []
+    text = f"token {KEY} secret"
+    assert len(secret_scan.spans_of(text)) == 1
+
+
 # ---- 5 -------------------------------------------------------------------------------------------
 
 
