@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the shared folder, and its path: compressed, and read by column."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    return written(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what ``written`` has written, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 200) -> DataFrame:
     """Applies ``step`` until the rows stop changing; each round is cut from its lineage."""
 
