@@ -1,10 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read a clause: insults (a learned lexicon of words and word beginnings, matched by an
-Aho-Corasick automaton), threats, targets, negations and reported speech (small fixed lists in four
-languages).  Composed, they pass an insult's or threat's weight on: raised beside a target, lowered in the
-scope of a negation or of reported speech.  A document's features are the damped sums of its clauses'
-outputs by kind; a logistic regression with a prior on the arc weights turns them into a score.
+A sentence is read as a string of word classes: second and third person, copula, negation, report verb,
+insult, threat, other words, and the soft ends of clauses.  Insults are a learned lexicon of words and of
+productive word beginnings, found by an Aho-Corasick automaton; the other classes are closed lists in four
+languages.  Four small transducers, given as arc tables, weigh an insult or a threat:
+
+* ``negation`` damps it within the scope of a negation;
+* ``report`` damps it behind a report verb, over clause ends, to the end of the sentence;
+* ``target_before`` raises it behind a second person, or behind a third person with a copula;
+* ``target_after`` raises it before a vocative ("idiot, you are"), and a threat before its object.
+
+The first three read from the left and are composed into one table of product states; the last reads from
+the right.  Two linear passes over a sentence so give each word its left and right state, and these its
+weight.  A text's sum of weights, as such and for its length, goes through a logistic regression with a
+prior: one full insult stays below one half, one that is aimed, or two, go above.
 
 The lexicon and the regression are learned from at most ``SAMPLE_ROWS`` labelled documents (those with
 the smallest hash of their id).  Scores depend on the text alone.  Null and empty texts have no clause
@@ -17,42 +26,147 @@ import bisect
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
+from tessera.plans.iterate import cut
 
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 SAMPLE_ROWS = 8_000
-#: Entries of the lexicon, at most, and the lengths of word beginnings that can become one.
-LEXICON, STEMS = 400, (3, 4, 5, 6, 7, 8)
-#: Occurrences that count in one text.
-MOST_IN_TEXT = 3
+#: Entries of the lexicon, at most, the lengths of word beginnings that can become one, and the least
+#: weight (log odds less 2.5 standard errors) of an entry.
+LEXICON, STEMS, LEAST = 400, (4, 5, 6, 7, 8), 1.0
+#: Different words under one beginning that count in a text.
+MOST_IN_TEXT = 8
 # Closed word classes in English, German, French and Spanish.
+SECOND = "you your yours yourself du dich dir dein deine euch tu toi vous votre tú vosotros usted ustedes".split()
+THIRD = "he she they er sie il elle ils elles él ella ellos ellas".split()
+COPULAS = "are re is s am was were be being bist seid ist sind war waren est sont êtes était es eres son era".split()
+NEGATIONS = "not no never neither nor isn aren wasn weren don doesn didn cannot nicht kein keine keinen nie niemals pas jamais aucun ni nunca jamás ningún tampoco".split()
+REPORTS = "said says saying told reported claimed claims wrote quote quoted called calls sagte sagt behauptete schrieb dit disait écrit prétend dijo dice escribió afirmó".split()
 THREATS = "kill murder hurt destroy stab strangle töten umbringen erschlagen tuer égorger frapper matar golpear destruir".split()
-TARGETS = "you your yours he she they him her them his their du dich dein deine ihr euch sie er tu toi ton ta vous votre il elle ils eux tú ti vosotros usted ustedes él ella ellos".split()
-NEGATIONS = "not no never neither nor isn't aren't wasn't don't nicht kein keine nie niemals pas jamais aucun ni nunca jamás ningún".split()
-REPORTS = "said says saying told reported claimed wrote quote quoted called sagte sagt behauptete schrieb dit disait écrit prétend dijo dice escribió afirmó".split()
-KINDS = ("plain", "targeted", "negated", "reported", "threat", "aimed_threat")
-#: The kinds' features and the outputs' density, and their prior weights.
-FEATURES = (*KINDS, "density")
-PRIOR = np.array([1.5, 2.0, 0.6, 0.8, 1.5, 2.5, 1.0])
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:,\n|()\[\]{}\"“”«»]")
-_CLASS = {w: c for c, ws in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws}
-#: Words that a negation reaches over, and that stand between an insult and its target.
-NEGATION_SCOPE, TARGET_SCOPE = 4, 3
+#: Words that a negation and a target before reach over, and a target behind.
+NEGATION_SCOPE, BEFORE_SCOPE, AFTER_SCOPE = 4, 3, 2
+#: Weights of the arcs: a negated, reported and aimed insult, a threat and an aimed threat.
+NEGATED, REPORTED, AIMED, THREAT, AIMED_THREAT = 0.2, 0.3, 1.6, 0.3, 5.0
+#: Word classes: other, second person, third person, copula, negation, report verb, insult, threat, soft end.
+CLASSES = "XUPCNRIHS"
+_CLASS = {w: CLASSES.index(c) for c, ws in (("R", REPORTS), ("N", NEGATIONS), ("C", COPULAS), ("P", THIRD), ("U", SECOND)) for w in ws}
+_INSULT, _THREAT, _SOFT = (CLASSES.index(c) for c in "IHS")
+_WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"[^\W\d_]+|[;:,()\[\]{}\"“”«»]")
+_HARD = re.compile(r"[.!?\n|]")
+#: Prior of the regression: the base, and the weights of a text's sum as such and for its length.
+BASE, PRIOR = -6.8, np.array([4.0, 4.0])
+#: Code points of a text beyond which its sum counts for its length.
+LENGTH = 2000
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs ``(state, class) -> (state, damping, aim)``; state 0 is the start."""
+
+    states: int
+    arcs: dict[tuple[int, str], tuple[int, float, float]]
+
+
+def transducer(states: int, step: Callable[[int, str], int], damp: Callable[[int, str], float] = lambda s, c: 1.0, aim: Callable[[int, str], float] = lambda s, c: 1.0) -> Transducer:
+    return Transducer(states, {(s, c): (step(s, c), damp(s, c), aim(s, c)) for s, c in product(range(states), CLASSES)})
+
+
+def negation() -> Transducer:
+    """The state is the number of words that the negation still reaches."""
+    return transducer(NEGATION_SCOPE + 1, lambda s, c: NEGATION_SCOPE if c == "N" else 0 if c == "S" else max(s - 1, 0), damp=lambda s, c: NEGATED if s and c in "IH" else 1.0)
+
+
+def report() -> Transducer:
+    return transducer(2, lambda s, c: 1 if c == "R" else s, damp=lambda s, c: REPORTED if s and c in "IH" else 1.0)
+
+
+def target_before() -> Transducer:
+    """States up to the scope: words that the target still reaches; the last: a third person waits for its copula."""
+    waits = BEFORE_SCOPE + 1
+
+    def step(s: int, c: str) -> int:
+        if c == "U" or c == "C" and s:
+            return BEFORE_SCOPE
+        return waits if c == "P" else 0 if c == "S" or s == waits else max(s - 1, 0)
+
+    return transducer(waits + 1, step, aim=lambda s, c: AIMED if 0 < s < waits and c == "I" else 1.0)
+
+
+def target_after() -> Transducer:
+    """Reads from the right.  0: a clause end follows, 1: a copula, 2: another word; then the words that a
+    vocative (a second person before an end or a copula) still reaches, then those that an object does."""
+    vocative, obj = 3, 3 + AFTER_SCOPE
+
+    def step(s: int, c: str) -> int:
+        if c == "S":
+            return 0
+        if c == "U":
+            return vocative if s < 2 else obj
+        if c == "C":
+            return 1
+        return s + 1 if s >= vocative and (s - vocative) % AFTER_SCOPE < AFTER_SCOPE - 1 else 2
+
+    return transducer(3 + 2 * AFTER_SCOPE, step, aim=lambda s, c: AIMED if c == "I" and vocative <= s < obj else AIMED_THREAT if c == "H" and s >= vocative else 1.0)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Both at once: the states are the pairs that the start reaches, weights multiply."""
+    number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
+    while todo:
+        s, t = pair = todo.pop()
+        for c in CLASSES:
+            (s2, d1, a1), (t2, d2, a2) = a.arcs[s, c], b.arcs[t, c]
+            if (s2, t2) not in number:
+                number[s2, t2] = len(number)
+                todo.append((s2, t2))
+            arcs[number[pair], c] = (number[s2, t2], d1 * d2, a1 * a2)
+    return Transducer(len(number), arcs)
+
+
+LEFT, RIGHT = compose(compose(negation(), report()), target_before()), target_after()
+
+
+def _tables(t: Transducer) -> tuple[list[int], list[float], list[float]]:
+    rows = [t.arcs[s, c] for s, c in product(range(t.states), CLASSES)]
+    return [r[0] * len(CLASSES) for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+
+
+def weigh(classes: list[int]) -> list[tuple[int, float]]:
+    """Places of the insults and threats in a sentence's classes, and the grammar's weight for each."""
+    (go, damp, aim), (back, _, behind) = _LEFT, _RIGHT
+    found, s = [], 0
+    for k, c in enumerate(classes):
+        if c == _INSULT or c == _THREAT:
+            found.append((k, damp[s + c], aim[s + c]))
+        s = go[s + c]
+    out, s, end = [], 0, len(classes)
+    for k, d, a in reversed(found):
+        for c in reversed(classes[k + 1 : end]):
+            s = back[s + c]
+        end = k + 1
+        c = classes[k]
+        out.append((k, d * max(a, behind[s + c]) * (THREAT if c == _THREAT else 1.0)))
+    return out[::-1]
+
+
+_LEFT, _RIGHT = _tables(LEFT), _tables(RIGHT)
 
 
 @dataclass(frozen=True)
 class Entry:
-    """A word, or with ``stem`` a word's beginning, and its weight."""
+    """A word, or with ``stem`` a word's beginning, and its weight from 0 to 1."""
 
     form: str
     stem: bool
@@ -60,135 +174,139 @@ class Entry:
 
 
 class Grammar:
-    """The composed transducers for one lexicon."""
+    """The transducers behind one lexicon."""
 
     def __init__(self, lexicon: list[Entry]):
         self.trigger = ahocorasick.Automaton()
+        arcs: dict[str, list[tuple[int, bool, float, int]]] = {}
         for e in lexicon:
-            self.trigger.add_word(e.form, (len(e.form), e.stem, e.weight, False))
+            arcs.setdefault(e.form, []).append((len(e.form), e.stem, e.weight, _INSULT))
         for w in THREATS:
-            if w not in self.trigger:
-                self.trigger.add_word(w, (len(w), False, 1.0, True))
+            arcs.setdefault(w, []).append((len(w), False, 1.0, _THREAT))
+        for form, ways in arcs.items():
+            self.trigger.add_word(form, tuple(ways))
         self.trigger.make_automaton()
 
-    def triggers(self, low: str) -> dict[int, tuple[float, bool]]:
-        """Starts of words that an insult or threat arc accepts, with the heaviest arc's weight."""
-        out: dict[int, tuple[float, bool]] = {}
-        for end, (size, stem, weight, threat) in self.trigger.iter(low):
-            start = end - size + 1
-            if (start == 0 or not low[start - 1].isalpha()) and (stem or end + 1 == len(low) or not low[end + 1].isalpha()):
-                if weight > out.get(start, (0.0, False))[0]:
-                    out[start] = (weight, threat)
+    def triggers(self, low: str) -> dict[int, tuple[float, int]]:
+        """Starts of words that an insult or threat arc accepts, with the heaviest arc's weight and class."""
+        out: dict[int, tuple[float, int]] = {}
+        for end, ways in self.trigger.iter(low):
+            for size, stem, weight, kind in ways:
+                start = end - size + 1
+                if (start == 0 or not low[start - 1].isalpha()) and (end + 1 < len(low) and low[end + 1].isalpha()) == stem and weight > out.get(start, (0.0, 0))[0]:
+                    out[start] = (weight, kind)
         return out
 
-    def clause(self, words: list[tuple[str, tuple[float, bool] | None]]) -> np.ndarray:
-        """Outputs by kind of one clause's words, each with the arc that it triggers."""
-        out = np.zeros(len(KINDS))
-        negated, reported, target = 0, False, -TARGET_SCOPE - 1
-        waiting: list[tuple[int, float, bool, bool, bool]] = []
-        for k, (word, arc) in enumerate(words):
-            kind = _CLASS.get(word)
-            if kind == "T":
-                target = k
-                waiting = [(i, w, th, n, r) if k - i > TARGET_SCOPE else (-1 - i, w, th, n, r) for i, w, th, n, r in waiting]
-            elif kind == "N":
-                negated = NEGATION_SCOPE + 1
-            elif kind == "R":
-                reported = True
-            if arc:
-                near = k - target <= TARGET_SCOPE
-                waiting.append((-1 - k if near else k, arc[0], arc[1], negated > 0, reported))
-            negated -= negated > 0
-        for i, weight, threat, n, r in waiting:
-            aimed = i < 0
-            out[3 if r else 2 if n else (5 if aimed else 4) if threat else 1 if aimed else 0] += weight
+    def sentence(self, low: str, hits: dict[int, tuple[float, int]], a: int, b: int) -> float:
+        """The summed weights of a sentence's insults and threats."""
+        classes, weights = [], {}
+        for m in _TOKEN.finditer(low, a, b):
+            hit = hits.get(m.start())
+            if hit:
+                weights[len(classes)] = hit[0]
+                classes.append(hit[1])
+            else:
+                word = m.group()
+                classes.append(_CLASS.get(word, 0) if word[0].isalpha() else _SOFT)
+        return sum(w * weights[k] for k, w in weigh(classes))
+
+    def total(self, text: str | None) -> float:
+        """The sum over all sentences of a text."""
+        if not text:
+            return 0.0
+        low = text.lower()
+        hits = self.triggers(low)
+        if not hits:
+            return 0.0
+        ends, out, done = [m.start() for m in _HARD.finditer(low)] + [len(low)], 0.0, -1
+        for p in sorted(hits):
+            k = bisect.bisect_right(ends, p)
+            if k != done:
+                out += self.sentence(low, hits, ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(low))
+                done = k
         return out
 
-    def features(self, text: str | None) -> np.ndarray:
-        """Damped sums of the clauses' outputs by kind, and of all outputs for 1000 code points."""
-        total = np.zeros(len(FEATURES))
-        if text:
-            low = text.lower()
-            hits = self.triggers(low)
-            if hits:
-                ends = [m.start() for m in _CLAUSE.finditer(low)] + [len(low)]
-                for k in sorted({bisect.bisect_right(ends, p) for p in hits}):
-                    a, b = (ends[k - 1] + 1 if k else 0), ends[k] if k < len(ends) else len(low)
-                    total[:-1] += self.clause([(m.group(), hits.get(m.start())) for m in _WORD.finditer(low, a, b)])
-                total[-1] = 1000 * total[:-1].sum() / max(200, len(low))
-        return np.log1p(total)
-
-
-def _forms(text: str | None) -> Counter:
-    """How often each word and each word beginning occurs."""
-    out: Counter = Counter()
-    for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        out[w, False] += n
-        for k in STEMS:
-            if len(w) >= k:
-                out[w[:k], True] += n
-    return out
-
-
-def _form_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(self, text: str | None) -> tuple[float, float]:
+        s = self.total(text)
+        return math.log1p(s), math.log1p(s * LENGTH / max(LENGTH, len(text or "")))
+
+
+def _types(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: tuple[Counter, Counter] = (Counter(), Counter())
-    often: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            forms = _forms(text)
+            docs[toxic].update(_types(text))
+    yield from _counted([*(docs[0].keys() | docs[1].keys())], [docs[1], docs[0]], ["form", "toxic", "clean"])
+
+
+def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For beginnings of words: documents that have one, toxic ones that have two words of it, and the different
+    words, ``MOST_IN_TEXT`` a document at most."""
+    docs, often, several = (Counter(), Counter()), (Counter(), Counter()), Counter()
+    for batch in batches:
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forms = Counter(w[:k] for w in _types(text) for k in STEMS if len(w) > k)
             docs[toxic].update(forms.keys())
             often[toxic].update({f: min(n, MOST_IN_TEXT) for f, n in forms.items()})
-    forms = list(docs[0].keys() | docs[1].keys())
-    for a in range(0, len(forms), 50_000):
-        part = forms[a : a + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.string()), pa.array([s for _, s in part], pa.bool_()), *(pa.array([c[t][f] for f in part], pa.int64()) for c in (docs, often) for t in (1, 0))], list(_COUNTS))
+            if toxic:
+                several.update(f for f, n in forms.items() if n > 1)
+    yield from _counted([*(docs[0].keys() | docs[1].keys())], [docs[1], docs[0], often[1], often[0], several], ["form", "toxic", "clean", "toxic_often", "clean_often", "several"])
 
 
-_COUNTS = ("form", "stem", "toxic", "clean", "toxic_often", "clean_often")
+def _counted(forms: list[str], counts: list[Counter], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(forms), 50_000):
+        part = forms[a : a + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[f] for f in part], pa.int64()) for c in counts)], names)
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text, toxic)`` of at most ``rows`` labelled documents for which ``allowed`` holds of ``id``; of rows
     with equal texts and labels the one with the smallest id."""
     picked = labels.select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(allowed)
-    picked = picked.orderBy(F.md5(F.col("id").cast("string")), "id").limit(rows)
+    picked = picked.orderBy(F.md5(F.col("id").cast("string")), "id", "toxic").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
     return texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.col("toxic").alias("label")).agg(F.min(F.struct("id", "text", "toxic")).alias("r")).select("r.*")
 
 
 def learn_lexicon(sample: DataFrame) -> list[Entry]:
-    """Words and word beginnings that occur more often in toxic text: those whose log odds stay above a bound
-    by 2.5 standard errors, reckoned by the documents that they occur in.  Of beginnings in the same documents the longest stands for all."""
-    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    t, c = n.get(1, 0), n.get(0, 0)
+    """Beginnings of several words, and other words, that occur more often in toxic documents: their log odds
+    stay above ``LEAST`` by 2.5 standard errors.  A beginning must have two different words in two documents;
+    of nested ones the heaviest counts, then the longest.  Weights are shares of the heaviest entry's."""
+    size = {r.toxic: (r.n, r.size) for r in sample.select("toxic", F.length("text").alias("size")).groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
+    (t, t_size), (c, c_size) = size.get(1, (0, 0)), size.get(0, (0, 0))
     if not t or not c:
         return []
-    counts = sample.select("text", "toxic").mapInArrow(_form_counts, "form string, stem boolean, toxic long, clean long, toxic_often long, clean_often long")
-    counts = counts.groupBy("form", "stem").agg(*(F.sum(k).alias(k) for k in _COUNTS[2:]))
-    words = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.sum(F.length("text") + 1).alias("n")).collect()}
-    odds = f"ln((toxic_often + 0.5D) / {max(1, words.get(1) or 1)}) - ln((clean_often + 0.5D) / {max(1, words.get(0) or 1)})"
-    rows = counts.withColumn("weight", F.expr(f"{odds} - 2.5D * sqrt(1 / (toxic + 0.5D) + 1 / (clean + 0.5D))"))
-    rows = rows.where(f"toxic >= {max(4, t // 200)} and weight >= 1.5D").orderBy(F.desc("weight"), "form", "stem").limit(10 * LEXICON).collect()
-    rows.sort(key=lambda r: (-r.weight, -len(r.form), not r.stem, r.form))
-    kept: list[tuple[Entry, int]] = []
-    for r in rows:
-        general = any(e.stem and r.form.startswith(e.form) for e, _ in kept)
-        longer = any(r.stem and e.form.startswith(r.form) and n == r.toxic for e, n in kept)
-        if len(kept) < LEXICON and not general and not longer and (r.form, r.stem) not in {(e.form, e.stem) for e, _ in kept}:
-            kept.append((Entry(r.form, r.stem, float(r.weight)), r.toxic))
-    return [e for e, _ in kept]
+    rows, error = sample.select("text", "toxic"), "2.5D * sqrt(1 / (toxic + 0.5D) + 1 / (clean + 0.5D))"
+    counts = rows.mapInArrow(_stem_counts, "form string, toxic long, clean long, toxic_often long, clean_often long, several long")
+    counts = counts.groupBy("form").agg(*(F.sum(k).alias(k) for k in ("toxic", "clean", "toxic_often", "clean_often", "several")))
+    counts = counts.withColumn("weight", F.expr(f"ln((toxic_often + 0.5D) / {t_size or 1}) - ln((clean_often + 0.5D) / {c_size or 1}) - {error}"))
+    stems = counts.where(f"toxic >= {max(3, t // 200)} and several >= 2 and weight >= {LEAST}D").orderBy(F.desc("weight"), "form").limit(10 * LEXICON).collect()
+    kept: list[Entry] = []
+    for r in sorted(stems, key=lambda r: (-r.weight, -len(r.form), r.form)):
+        if len(kept) < LEXICON // 2 and not any(e.form.startswith(r.form) or r.form.startswith(e.form) for e in kept):
+            kept.append(Entry(r.form, True, float(r.weight)))
+    under = tuple(e.form for e in kept)
+    counts = rows.mapInArrow(_word_counts, "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = counts.withColumn("weight", F.expr(f"ln((toxic + 0.5D) / {t + 1}) - ln((clean + 0.5D) / {c + 1}) - {error}"))
+    words = counts.where(f"toxic >= {max(4, t // 200)} and weight >= {LEAST}D").orderBy(F.desc("weight"), "form").limit(10 * LEXICON).collect()
+    kept += [Entry(r.form, False, float(r.weight)) for r in words if r.form in under or not r.form.startswith(under)][: LEXICON - len(kept)]
+    top = max((e.weight for e in kept), default=1.0)
+    return [Entry(e.form, e.stem, e.weight / top) for e in kept]
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 50) -> tuple[float, np.ndarray]:
-    """Logistic regression by Newton's method, its weights drawn to ``PRIOR`` and kept at 0 or more."""
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    w = np.concatenate([[math.log(rate / (1 - rate))], PRIOR])
+    """Logistic regression by Newton's method, drawn to ``BASE`` and ``PRIOR``, its weights kept at 0 or more."""
+    w = np.concatenate([[BASE], PRIOR])
     z = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-    prior, hold = w.copy(), np.array([1e-6] + [ridge] * len(PRIOR))
+    prior = w.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (p - y) / len(y) + hold * (w - prior)
-        curve = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(hold) + 1e-6 * np.eye(len(w))
+        gradient = z.T @ (p - y) / len(y) + ridge * (w - prior)
+        curve = (z * (p * (1 - p))[:, None]).T @ z / len(y) + (ridge + 1e-6) * np.eye(len(w))
         step = np.linalg.solve(curve, gradient)
         w = w - step
         w[1:] = np.maximum(w[1:], 0)
@@ -203,45 +321,56 @@ class Model:
     base: float
     weights: tuple[float, ...]
 
+    def scores(self, grammar: Grammar, texts: list[str | None]) -> np.ndarray:
+        x = np.array([grammar.features(t) for t in texts]).reshape(-1, 2)
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights) + self.base, -30, 30)))
+
 
 def _features(lexicon: list[Entry]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)
         for batch in batches:
-            rows = np.array([grammar.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(len(FEATURES))), batch.column(1)], [*FEATURES, "toxic"])
+            x = np.array([grammar.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], ["whole", "share", "toxic"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    sample = sample_of(docs, labels, allowed, rows, id_col, text_col)
+    sample = cut(sample_of(docs, labels, allowed, rows, id_col, text_col))  # one scan of the documents
     lexicon = learn_lexicon(sample)
     if not lexicon:
-        return Model((), -4.0, tuple(PRIOR))
-    got = sample.select("text", "toxic").mapInArrow(_features(lexicon), ", ".join(f"{k} double" for k in FEATURES) + ", toxic int").toPandas()
+        return Model((), BASE, tuple(PRIOR))
+    got = sample.select("text", "toxic").mapInArrow(_features(lexicon), "whole double, share double, toxic int").toPandas()
     got = got.sort_values(list(got.columns), ignore_index=True)
-    base, weights = fit_weights(got[list(FEATURES)].to_numpy(), got.toxic.to_numpy().astype(float))
+    base, weights = fit_weights(got[["whole", "share"]].to_numpy(), got.toxic.to_numpy().astype(float))
     return Model(tuple(lexicon), base, tuple(weights))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1); all other columns stay."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with the score (0 to 1) in a last column; of its own columns, one of that name gives way to it."""
+    docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar, weights = Grammar(list(model.lexicon)), np.array(model.weights)
+        grammar = Grammar(list(model.lexicon))
         for batch in batches:
             for a, b in K.chunks(batch.column(at)):
                 part = batch.slice(a, b - a)
-                rows = np.array([grammar.features(t) for t in part.column(at).to_pylist()]).reshape(-1, len(FEATURES))
-                score = 1 / (1 + np.exp(-np.clip(rows @ weights + model.base, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(grammar, part.column(at).to_pylist()))], [*part.schema.names, score_col])
 
-    return docs.mapInArrow(run, _with_score(docs))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
-def _with_score(docs: DataFrame):
-    from pyspark.sql import types as T
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, whatever their other columns are called."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(list(model.lexicon))
+        for batch in batches:
+            for a, b in K.chunks(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(model.scores(grammar, part.column(at).to_pylist()) < limit))
 
-    return T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    return docs.mapInArrow(run, docs.schema)
