@@ -1,22 +1,26 @@
 """Secrets in texts: fixed patterns, and strings that a primed compressor finds new.
 
-The patterns find assignments to secret names, access keys and runs of hex digits.  Beyond these, a
-string in a sensitive context (near a word such as password, token or auth, on either side of it) is a
-candidate.  Its novelty is what it adds to a zstandard frame that starts with a dictionary of
-common identifiers and the text around it, as a share of its own length; common names, repeated strings
-and prose compress away, random strings do not.  A candidate at or above ``NOVELTY`` is reported with the
-kind ``novel``; the patterns' spans always stay.
-
-Spans are in code points, the end exclusive.  Null and empty texts have no spans.  Only ASCII letters
-match in either case.  Rows with equal ids are scanned each on its own.
+The patterns find assignments to secret names, access keys and runs of hex digits.  Beyond these, any
+string of ``SHORTEST`` or more key characters within ``REACH`` bytes of a sensitive word (password, token,
+auth and so on), on either side of it, is a candidate.  Its novelty is what it adds to a zstandard frame
+that holds common prose and the text around it and starts from a dictionary of common identifiers, as a
+share of its own length.  Names, repeated strings and the text's own prose compress away, in whatever
+alphabet; random strings do not.  A candidate at or above ``NOVELTY`` is reported with the kind ``novel``;
+the patterns' spans always stay.
+
+One pass over the strings and one over the sensitive words, met by binary search, so the work grows with the
+text's length.  Spans are in code points, the end exclusive.  Null and empty texts have no spans.  Only
+ASCII letters match in either case.  Rows with equal ids are scanned each on its own.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -33,11 +37,12 @@ _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Words that make a context sensitive (fixed values).
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "credential", "private_key", "private-key", "privatekey", "access_key", "access-key", "accesskey", "auth", "authorization", "bearer", "signature", "client_id", "client-id", "clientid", "session_id", "session-id", "sessionid")
 _SENSITIVE = re.compile(("(?:" + "|".join(map(re.escape, SENSITIVE)) + r")s?(?-i:(?![a-z]))").encode(), re.I)
-_STRING = re.compile(rb"[A-Za-z0-9][A-Za-z0-9+/_.=~-]{11,}")
-#: Bytes after a sensitive word in which a candidate starts, or before it in which one ends, and bytes of text that prime the compressor on each side.
-REACH, AROUND = 48, 256
+#: Bytes of the shortest candidate; bytes between it and a sensitive word, at most; bytes of text on each side that the compressor sees.
+SHORTEST, REACH, AROUND = 12, 128, 512
+_FIRST = re.compile(rb"[A-Za-z0-9]")
+_STRING = re.compile(rb"[A-Za-z0-9][A-Za-z0-9+/_.~-]{%d,}[A-Za-z0-9+/_]={0,2}" % (SHORTEST - 2))
 #: Bytes that a candidate must add for each byte of its own.
-NOVELTY = 0.72
+NOVELTY = 0.75
 #: What the compressor knows beforehand: names that code and configuration are full of (fixed values).
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key secret_key private_key public_key client_id client_secret "
@@ -50,6 +55,16 @@ IDENTIFIERS = (
 ).encode()
 
 
+#: Common words, for the frequencies of letters (fixed values).
+PROSE = (
+    b"the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were when we "
+    b"there can an your which their said if do will each about how up out them then she many some so these would other into has more "
+    b"der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei "
+    b"le de un est pas pour que dans ce il qui ne sur se plus par je avec tout faire son mettre autre on mais nous comme ou si leur "
+    b"la que el en y los del se las por un para con no una su al lo como pero sus le ya este porque esta entre cuando muy sin sobre "
+)
+
+
 @dataclass(frozen=True)
 class Span:
     kind: str
@@ -61,27 +76,18 @@ class Novelty:
     """Marginal compressed bytes of a string against the text around it and the identifier dictionary."""
 
     def __init__(self, level: int = 3):
-        self._level = level
-
-    def _size(self, prime: zstandard.ZstdCompressionDict, data: bytes) -> int:
-        c = zstandard.ZstdCompressor(level=self._level, dict_data=prime, write_content_size=False, write_dict_id=False)
-        return len(c.compress(data))
+        form = zstandard.ZstdCompressionParameters.from_level(level, min_match=3, write_content_size=False, write_dict_id=False)
+        self._frame = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=form)
 
     def of(self, before: bytes, candidate: bytes, after: bytes) -> float:
         """Added bytes for each byte of ``candidate``."""
-        prime = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + after + b"\n" + before, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return (self._size(prime, candidate) - self._size(prime, b"")) / len(candidate)
+        around = PROSE + after + b"\n" + before
+        return (len(self._frame.compress(around + candidate)) - len(self._frame.compress(around))) / len(candidate)
 
 
 _novelty = Novelty()
 
 
-def _mixed(s: bytes) -> bool:
-    """Letters and digits, or upper and lower case within the string: prose and plain numbers are neither."""
-    digit, upper, lower = any(48 <= b <= 57 for b in s), any(65 <= b <= 90 for b in s[1:]), any(97 <= b <= 122 for b in s)
-    return digit and (upper or lower) or upper and lower
-
-
 def base_spans(data: bytes) -> list[Span]:
     """Pattern matches in UTF-8 bytes, by byte position."""
     out = []
@@ -94,33 +100,34 @@ def base_spans(data: bytes) -> list[Span]:
     return out
 
 
-def novel_spans(data: bytes, base: list[Span], novelty: float = NOVELTY) -> list[Span]:
-    """Candidates in a sensitive context that no pattern covers and that stay incompressible.
-
-    A run of string characters that reaches into the word itself is part of the word's own name, and no
-    candidate before it."""
-    out: list[Span] = []
-    done = 0
-    for m in _SENSITIVE.finditer(data):
-        near = []
-        if done < m.start():  # strings that end in reach before the word, from where the last one ended
-            for c in _STRING.finditer(data, done, m.start()):
-                if m.start() - REACH < c.end() < m.start():
-                    near.append(c)
-        reach = m.end() + REACH
-        for c in _STRING.finditer(data, m.end()):
-            if c.start() >= reach:
-                break
-            if c.start() >= done:
-                near.append(c)
-        done = max(done, m.end())
-        for c in near:
-            done = max(done, c.end())
-            if not _mixed(c.group()) or any(s.start < c.end() and c.start() < s.end for s in base):
+def candidates(data: bytes, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """Strings in reach of a sensitive word that overlap no pattern's span, by byte position.
+
+    Where a word stands inside a string, what comes before it is part of its name, and the rest the candidate."""
+    words = [m.span() for m in _SENSITIVE.finditer(data)]
+    if not words:
+        return
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    taken = sorted((s.start, s.end) for s in base)
+    opened, closed = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    for m in _STRING.finditer(data):
+        a, b = m.span()
+        k = bisect.bisect_left(starts, b)
+        if k and ends[k - 1] > a:
+            first = _FIRST.search(data, ends[k - 1], b)
+            if not first or not _STRING.match(data, first.start(), b):
                 continue
-            if _novelty.of(data[max(0, c.start() - AROUND) : c.start()], c.group(), data[c.end() : c.end() + AROUND]) >= novelty:
-                out.append(Span("novel", c.start(), c.end()))
-    return out
+            a = first.start()
+        elif not (k and a - ends[k - 1] <= REACH or k < len(starts) and starts[k] - b <= REACH):
+            continue
+        t = bisect.bisect_left(opened, b)
+        if not t or closed[t - 1] <= a:
+            yield a, b
+
+
+def novel_spans(data: bytes, base: list[Span], novelty: float = NOVELTY) -> list[Span]:
+    """Candidates that stay incompressible."""
+    return [Span("novel", a, b) for a, b in candidates(data, base) if _novelty.of(data[max(0, a - AROUND) : a], data[a:b], data[b : b + AROUND]) >= novelty]
 
 
 def spans_of(text: str | None, novelty: float = NOVELTY) -> list[Span]:
