@@ -4,6 +4,10 @@ Everything here works on the UTF-8 bytes of Arrow string columns.  Words are max
 bytes other than 0x20 and 0x09-0x0D; all separators are ASCII, so byte runs and code point runs
 are the same words.  Texts are cut into segments at separators, so the working memory follows
 ``SEGMENT`` and not the longest text.
+
+A word's hash joins two polynomials of its bytes, modulo two primes.  Two words of n bytes collide with
+probability (n / 2**31)**2 at most, whatever their letters; modulo a power of two there are pairs of
+words that collide for every base.
 """
 
 from __future__ import annotations
@@ -16,11 +20,15 @@ import pyarrow as pa
 
 #: Bytes hashed at a time; a longer word makes a longer segment.
 SEGMENT = 1 << 20
+#: Products below 2**40 that are summed without a remainder.
+SUM = 1 << 23
 #: Bytes of text handed to a kernel at a time.
 CHUNK = 4 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Primes and the polynomials' bases.
+_FIELDS = ((2147483647, 1664525809), (2147483629, 1013904223))
 
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
@@ -29,31 +37,39 @@ _FOLDED = _PLAIN.copy()
 _FOLDED[65:91] = _PLAIN[97:123]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _powers(base: int, n: int, prime: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
     done = 1
     while done < n:
-        step = np.uint64(pow(base, done, 1 << 64))
         more = min(done, n - done)
-        out[done : done + more] = out[:more] * step
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
         done += more
     return out
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of the hash bases and of their inverses modulo their primes, grown on demand."""
 
-    up = np.empty(0, np.uint64)
-    down = np.empty(0, np.uint64)
+    known: list[tuple[np.ndarray, np.ndarray]] = []
 
     @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(cls.up):
+    def of(cls, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not cls.known or n > len(cls.known[0][0]):
             n = max(n, SEGMENT + 1)
-            cls.up = _powers(_BASE, n)
-            cls.down = _powers(pow(_BASE, -1, 1 << 64), n)
-        return cls.up, cls.down
+            cls.known = [(_powers(base, n, prime), _powers(pow(base, -1, prime), n, prime)) for prime, base in _FIELDS]
+        return cls.known
+
+
+def _prefix(values: np.ndarray, up: np.ndarray, prime: np.uint64) -> np.ndarray:
+    """Sums of ``values * up`` before each place; of long inputs modulo ``prime``, so that none overflows."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    for a in range(0, len(values), SUM):
+        b = min(a + SUM, len(values))
+        np.cumsum(values[a:b] * up[a:b], out=out[a + 1 : b + 1])
+        if a:
+            out[a + 1 : b + 1] += out[a] % prime
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,7 +83,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def constants(n: int, seed: int) -> np.ndarray:
     """``n`` odd 64-bit multipliers that depend on ``seed`` alone."""
-    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(seed * 0xD1B54A32D192ED03 & _MASK)
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(seed * 0xD1B54A32D192ED03 & _MASK)
     return mix(x) | np.uint64(1)
 
 
@@ -149,11 +165,12 @@ def words(column: pa.Array, fold: bool = False) -> Words:
         after[edge[edge > 0] - 1] = False
         start = np.flatnonzero(inside & ~before)
         end = np.flatnonzero(inside & ~after) + 1
-        up, down = _Powers.of(len(seg) + 1)
-        total = np.empty(len(seg) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(value[seg] * up[: len(seg)], out=total[1:])
-        parts.append((start + a, end + a, mix((total[end] - total[start]) * down[start])))
+        bytes_, code = value[seg], np.zeros(len(start), np.uint64)
+        for (prime, _), (up, down) in zip(_FIELDS, _Powers.of(len(seg) + 1), strict=True):
+            p = np.uint64(prime)
+            total = _prefix(bytes_, up[: len(seg)], p)
+            code = code << np.uint64(32) | (total[end] % p + p - total[start] % p) % p * down[start] % p
+        parts.append((start + a, end + a, mix(code)))
     start, end, code = (np.concatenate(x) if parts else np.empty(0, t) for x, t in zip(zip(*parts) if parts else ((), (), ()), (np.int64, np.int64, np.uint64), strict=True))
     return Words(data, offsets, start, end, code, np.searchsorted(start, offsets))
 
