@@ -23,9 +23,9 @@ Pairs that meet in no band are missed with probability (1 - s^width)^bands at si
 chosen by the threshold: 25 bands of five miss 4e-7 at 0.85, 32 bands of four 5e-8 at 0.80.
 Everything else is exact, and no group has a cap.
 
-Nulls: a null text counts as empty; rows without an id are dropped from the links, as nothing could
-name them.  Rows that repeat an id count once for each text, under that id.  An empty table gives an
-empty result.
+Nulls: a null text counts as empty; rows without an id are linked with nothing, as nothing could name
+them: their component is null and they are kept.  Rows that repeat an id count once for each text, under
+that id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
@@ -96,17 +96,19 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts, more = batch.column(0), batch.column(1), batch.columns[2:]
         for a, b in K.chunks(texts):
             values, first = K.sets(*K.windows(K.words(texts.slice(a, b - a), fold=True)))
             keys = K.set_keys(values, first)
             regs = [registers(values[first[i] : first[i + 1]]).tobytes() if first[i + 1] > first[i] else None for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(first)), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "key", "regs"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(first)), pa.array(keys, pa.binary()), pa.array(regs, pa.binary()), *(c.slice(a, b - a) for c in more)], ["id", "n", "key", "regs", *batch.schema.names[2:]])
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n, key, regs)``: the set's size, its 128-bit key and the registers (null for an empty set)."""
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_sketches, "id long, n long, key binary, regs binary")
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+    """``(id, n, key, regs)``: the set's size, its 128-bit key and the registers (null for an empty set); with
+    ``digest``, a long of the row, that as well."""
+    more = [] if digest is None else [digest.cast("long").alias("digest")]
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *more).mapInArrow(_sketches, "id long, n long, key binary, regs binary" + ", digest long" * len(more))
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +269,6 @@ def near_duplicate_links(texts: DataFrame, reps: DataFrame, percent: int = 85, g
     if groups is None:
         groups = reps.select("id", "regs").mapInArrow(_band_rows(percent), "gid long, id long")
     sketch = reps.select("id", "n", "regs")
-    if groups is None:
-        groups = reps.select("id", "regs").mapInArrow(_band_rows(percent), "gid long, id long")
     groups = cut(groups.join(groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "gid"))
     near = groups.where(f"size <= {SMALL}")
     pairs = near.select("gid", F.col("id").alias("a")).join(near.select("gid", F.col("id").alias("b")), "gid").where("a < b").select("a", "b").distinct()
@@ -346,17 +346,18 @@ def classes_of(sketch: DataFrame) -> DataFrame:
     return sketch.where("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "regs")).alias("r")).select("key", "r.*")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` for each document.
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+    """``(id, n_shingles, component_id, kept)`` for each document, and its ``digest`` if one is given.
 
     ``component_id`` is the smallest id that links reach, the document's own included; ``kept`` says
     whether that is the document itself.
     """
+    sketch = cut(sketches(docs, id_col, text_col, digest))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = cut(sketches(docs, "id"))
     classes = cut(classes_of(sketch))
     links = near_duplicate_links(docs, classes.select("id", "n", "regs"), percent)
     found = component_labels(links, "a", "b").withColumnRenamed("id", "rep")
     named = classes.select("key", F.col("id").alias("rep")).join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
-    return out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id")).withColumn("kept", F.expr("id <=> component_id"))
+    out = sketch.select("id", F.col("n").alias("n_shingles"), F.expr("if(id is null, null, key)").alias("key"), *([] if digest is None else ["digest"])).join(named, "key", "left")
+    component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.coalesce("component", "id"))
+    return out.select("id", "n_shingles", component.alias("component_id"), *([] if digest is None else ["digest"])).withColumn("kept", F.expr("id <=> component_id"))
