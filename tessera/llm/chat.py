@@ -3,7 +3,12 @@
 A turn's content is a list of parts: text, image, audio or document.  A visitor flattens it into text
 with ordered placeholders and records each attachment's reference and the tokens that it expands to.
 The template marks turns with control strings; inside texts and roles a backslash splits every control
-string, so a formatted conversation can be read back exactly.  The loss mask covers the assistant's texts.
+string, so a formatted conversation can be read back exactly.  Neighbouring texts are joined before that,
+so that none arises where they meet; every control string has its only "<" or "[" in front, so none arises
+where a text meets a placeholder either.  The loss mask covers the assistant's turns.
+
+A row has a ``text``, or a list ``parts`` of structs (kind, text, ref, width, height, seconds, pages) that
+goes before it; a null part is left out, an empty list is an empty text, a missing size is the default.
 
 A conversation is formatted in segments of whole turns, so one of any length passes through a task of
 bounded memory.  Turns come by turn number, then role, then text; null turn numbers come first, a null
@@ -29,6 +34,7 @@ OTHER, NAME_END, BEGIN, END = "[ROLE]", "[/ROLE]", "<s>", "</s>"
 CONTROL = (*OPEN.values(), "[/SYS]", "[/INST]", "[/OUT]", OTHER, NAME_END, BEGIN, END, "<image>", "<audio>", "<document>")
 _CONTROL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(.)", re.S)
+_PLACEHOLDER = re.compile(r"\\.|<(image|audio|document)>", re.S)
 _ROLE_OF = {v: k for k, v in OPEN.items()}
 _TURN = re.compile("(" + "|".join(map(re.escape, OPEN.values())) + ")|" + re.escape(OTHER) + "(.*?)" + re.escape(NAME_END), re.S)
 #: Code points of text in a segment, about.
@@ -45,7 +51,7 @@ class TextPart:
 
 @dataclass(frozen=True)
 class ImagePart:
-    ref: str
+    ref: str | None
     width: int = 224
     height: int = 224
 
@@ -55,7 +61,7 @@ class ImagePart:
 
 @dataclass(frozen=True)
 class AudioPart:
-    ref: str
+    ref: str | None
     seconds: float = 0.0
 
     def accept(self, visitor: "Flattener") -> None:
@@ -64,7 +70,7 @@ class AudioPart:
 
 @dataclass(frozen=True)
 class DocumentPart:
-    ref: str
+    ref: str | None
     pages: int = 1
 
     def accept(self, visitor: "Flattener") -> None:
@@ -74,13 +80,27 @@ class DocumentPart:
 Part = TextPart | ImagePart | AudioPart | DocumentPart
 
 
+def part_of(row: dict) -> Part:
+    """The part that a struct of a table describes."""
+    kind, given = row.get("kind") or "text", lambda name, default: default if row.get(name) is None else row[name]
+    if kind == "text":
+        return TextPart(row.get("text"))
+    if kind == "image":
+        return ImagePart(row.get("ref"), given("width", 224), given("height", 224))
+    if kind == "audio":
+        return AudioPart(row.get("ref"), given("seconds", 0.0))
+    if kind == "document":
+        return DocumentPart(row.get("ref"), given("pages", 1))
+    raise ValueError(f"no part is of kind {kind!r}")
+
+
 @dataclass(frozen=True)
 class Attachment:
     """The ``index``-th placeholder of a conversation, what it stands for, and the tokens that it expands to."""
 
     index: int
     kind: str
-    ref: str
+    ref: str | None
     tokens: int
 
 
@@ -97,8 +117,9 @@ class Flattener:
 
     def flatten(self, parts: Iterable[Part]) -> str:
         self._out = []
-        for part in parts:
-            part.accept(self)
+        for text, run in groupby(parts, key=lambda p: isinstance(p, TextPart)):
+            for part in [TextPart("".join(p.text or "" for p in run))] if text else run:
+                part.accept(self)
         return "".join(self._out)
 
     def text(self, part: TextPart) -> None:
@@ -127,12 +148,23 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def parts_of(body: str) -> list[tuple[str, str]]:
+    """``(kind, text)`` of a flattened turn's parts in order; a placeholder has no text."""
+    out, at = [], 0
+    for m in _PLACEHOLDER.finditer(body):
+        if m[1]:
+            out += [("text", unescape(body[at : m.start()]))] * (m.start() > at) + [(m[1], "")]
+            at = m.end()
+    return out + [("text", unescape(body[at:]))] * (len(body) > at)
+
+
 @dataclass
 class Segment:
-    """Formatted turns; ``loss``: code point ranges of ``text`` under the loss mask."""
+    """Formatted turns; ``loss``: code point ranges of ``text`` under the loss mask; and their attachments."""
 
     text: str
     loss: list[tuple[int, int]]
+    attachments: list[Attachment]
     first: bool
     last: bool = False
 
@@ -140,7 +172,7 @@ class Segment:
 def format_turns(turns: Iterable[tuple[str | None, Iterable[Part]]], flattener: Flattener | None = None, most: int = SEGMENT) -> Iterator[Segment]:
     """Formats ``(role, parts)`` in order, as segments of whole turns that join to the conversation."""
     flattener = flattener or Flattener()
-    out, size, loss, first = [BEGIN], len(BEGIN), [], True
+    out, size, loss, first, seen = [BEGIN], len(BEGIN), [], True, len(flattener.attachments)
     for role, parts in turns:
         role = role or ""
         head = OPEN.get(role) or OTHER + escape(role) + NAME_END
@@ -150,9 +182,9 @@ def format_turns(turns: Iterable[tuple[str | None, Iterable[Part]]], flattener:
         out += [head, body, END]
         size += len(head) + len(body) + len(END)
         if size >= most:
-            yield Segment("".join(out), loss, first)
-            out, size, loss, first = [], 0, [], False
-    yield Segment("".join(out), loss, first, last=True)
+            yield Segment("".join(out), loss, flattener.attachments[seen:], first)
+            out, size, loss, first, seen = [], 0, [], False, len(flattener.attachments)
+    yield Segment("".join(out), loss, flattener.attachments[seen:], first, last=True)
 
 
 def read_back(segment: Segment) -> tuple[list[tuple[str, str]], list[str]]:
@@ -168,32 +200,41 @@ def read_back(segment: Segment) -> tuple[list[tuple[str, str]], list[str]]:
 def sorted_turns(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Turns of a conversation in order within one partition: one shuffle by conversation."""
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ties = [F.to_json("parts")] if "parts" in rows.columns else []
+    return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", *ties)
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[Segment]]]:
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True)
+
+    def turn(role: str | None, text: str | None, parts: list[dict | None] | None = None) -> tuple[str | None, list[Part]]:
+        return role, [TextPart(text)] if parts is None else [part_of(p) for p in parts if p is not None]
 
     for conv, turns in groupby(rows(), key=lambda r: r[0]):
-        yield conv, format_turns((role, [TextPart(text)]) for _, role, text in turns)
+        yield conv, format_turns(turn(*r[1:]) for r in turns)
+
+
+_SEGMENTS = pa.schema([("conv_id", pa.int64()), ("segment", pa.int32()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("attachments", pa.list_(pa.struct([("index", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])))])
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """``(conv_id, segment, text, loss)``: formatted conversations of ``rows (conv_id, turn, role, text)``."""
+    """``(conv_id, segment, text, loss, attachments)``: formatted conversations of ``rows (conv_id, turn, role,
+    text[, parts])``.  Attachments count from 0 in their conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, segments in _conversations(batches):
             for k, s in enumerate(segments):
-                yield pa.RecordBatch.from_pylist([{"conv_id": conv, "segment": k, "text": s.text, "loss": [{"start": a, "end": b} for a, b in s.loss]}], schema=pa.schema([("conv_id", pa.int64()), ("segment", pa.int32()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+                yield pa.RecordBatch.from_pylist([{"conv_id": conv, "segment": k, "text": s.text, "loss": [{"start": a, "end": b} for a, b in s.loss], "attachments": [vars(a) for a in s.attachments]}], schema=_SEGMENTS)
 
-    ordered = sorted_turns(_typed(rows)).select("conv_id", "role", "text")
-    return ordered.mapInArrow(run, "conv_id long, segment int, text string, loss array<struct<start: long, end: long>>")
+    ordered = sorted_turns(_typed(rows)).drop("turn")
+    return ordered.mapInArrow(run, "conv_id long, segment int, text string, loss array<struct<start: long, end: long>>, attachments array<struct<index: long, kind: string, ref: string, tokens: long>>")
 
 
 def _typed(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    text = F.col("text").cast("string") if "text" in rows.columns else F.lit(None).cast("string").alias("text")
+    return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), text, *(["parts"] if "parts" in rows.columns else []))
 
 
 _DIGESTS = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
@@ -222,7 +263,7 @@ def conversation_digests(rows: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    ordered = sorted_turns(_typed(rows)).select("conv_id", "role", "text")
+    ordered = sorted_turns(_typed(rows)).drop("turn")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
