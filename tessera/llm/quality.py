@@ -122,11 +122,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: list["Rule"], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that neither fail the base rules nor meet a rule of the list."""
-    rows = with_statistics(docs, text_col)
-    counts = F.struct(*(F.col(f"_q_{c}").alias(c) for c in COUNTS))
-    rows = rows.withColumn("_q", counts).drop(*(f"_q_{c}" for c in COUNTS))
-    return rows.where(~failed_base("_q.") & verdict(rules, "_q.")).drop("_q")
+    """The rows of ``docs`` that neither fail the base rules nor meet a rule of the list, whatever their columns are called."""
+    names = docs.columns
+    rows = with_statistics(docs.toDF(*(f"c{k}" for k in range(len(names)))), f"c{names.index(text_col)}")
+    kept = rows.where(~failed_base("_q_") & verdict(rules, "_q_"))
+    return kept.select(*(f"c{k}" for k in range(len(names)))).toDF(*names)
 
 
 def failed_base(at: str = "") -> Column:
