@@ -5,8 +5,13 @@ smallest value over the text's five-word shingles (A-Z lower-cased; a shorter te
 share of equal positions estimates the Jaccard similarity.  Equal texts have equal fingerprints; a text
 without words has a fingerprint of its own, alike only to itself.
 
-Nulls count as empty texts.  Rows with a null id come last in the order by id; rows with equal ids are
-ordered by their text.  An empty table gives an empty result.
+Signatures are cut into bands; texts that share one are compared on their full sets.  ``similar_pairs`` joins
+a whole corpus that way.  ``fingerprints_against_next`` does so for each text and two given ones, which meet in
+a task anyway.
+
+Nulls count as empty texts.  A row with a null id has no place in the order by id: its next document is the
+first of all, or itself where no row has an id.  Rows with equal ids are ordered by their text.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ from tessera.llm import kernels as K
 from tessera.plans.iterate import cut
 
 PERMUTATIONS = 64
-#: Documents in a block of the order by id, and the most blocks.
+#: Documents in a block of the order by id, and the most blocks; beyond their product the blocks grow.  A block's
+#: texts pass through a task one after the other, so its size costs no memory.
 BLOCK_ROWS, MOST_BLOCKS = 250, 10_000
 _A = K.constants(PERMUTATIONS, 31)
 _B = K.constants(PERMUTATIONS, 32)
@@ -99,7 +105,9 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
 
 
-_NEXT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NEXT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
+#: Similarity for which the bands are made.
+PERCENT = 80
 
 
 def _edited(text: str, after: str) -> str:
@@ -107,16 +115,58 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _emit(rows: list[tuple], sig: np.ndarray) -> pa.RecordBatch:
+def meet(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether rows of signatures share a band; a text without words has none."""
+    from tessera.llm.near_dup import banding
+
+    width, bands = banding(percent, PERMUTATIONS)
+    same = ((a == b) & (a != 0))[:, : width * bands].reshape(len(a), bands, width)
+    return same.all(axis=2).any(axis=1)
+
+
+def _verified(texts: list[str], others: list[str], met: np.ndarray) -> pa.Array:
+    """The Jaccard similarity of the full sets of texts that meet in a band, null for the others."""
+    out: list[float | None] = [None] * len(texts)
+    at = np.flatnonzero(met)
+    sides = []
+    for side in (texts, others):
+        some = pa.array([side[i] for i in at], pa.string())
+        sides.append([])
+        for a, b in K.chunks(some):
+            values, first = K.sets(*K.windows(K.words(some.slice(a, b - a), fold=True)))
+            sides[-1] += [values[first[i] : first[i + 1]] for i in range(b - a)]
+    for i, u, v in zip(at, *sides, strict=True):
+        both = len(np.intersect1d(u, v, assume_unique=True))
+        out[i] = both / (len(u) + len(v) - both)
+    return pa.array(out, pa.float64())
+
+
+def _emit(rows: list[tuple], sig: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     """``rows``: (id, text, next text); ``sig``: signatures of the texts and, in the same order, the next texts."""
-    edited = [_edited(t, n) for _, t, n in rows]
-    mine, after, changed = sig[0], sig[1], signatures(pa.array(edited, pa.string()))
+    texts, after = [r[1] for r in rows], [r[2] for r in rows]
+    edited = [_edited(t, n) for t, n in zip(texts, after, strict=True)]
+    changed = signatures(pa.array(edited, pa.string()))
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array([s.tobytes().hex() for s in mine]), pa.array([s.tobytes().hex() for s in changed]), pa.array(alike(mine, changed)), pa.array(alike(mine, after))],
-        ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited]), pa.array([s.tobytes().hex() for s in sig[0]]), pa.array([s.tobytes().hex() for s in changed]), pa.array(alike(sig[0], changed)), pa.array(alike(*sig)), _verified(texts, edited, meet(sig[0], changed)), _verified(texts, after, meet(*sig))],
+        ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "jaccard_edited", "jaccard_next"],
     )
 
 
+def _against_one(first: str | None):
+    """Rows (id, text) against one next text, or themselves if it is None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in K.chunks(batch.column(1)):
+                part = batch.slice(a, b - a)
+                mine = signatures(part.column(1))
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                after = texts if first is None else [first] * len(texts)
+                yield _emit(list(zip(part.column(0).to_pylist(), texts, after, strict=True)), (mine, mine if first is None else np.repeat(signatures(pa.array([first])), len(texts), axis=0)))
+
+    return run
+
+
 def _against_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, tail, id, text) in order; a block's first tail row is the text after its last row."""
     carry: tuple | None = None  # (block, id, text, signature) that waits for its next text
@@ -151,29 +201,23 @@ def fingerprints_against_next(docs: DataFrame, id_col: str = "doc_id", text_col:
     if blocks > 1:
         cuts = rows.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], max(10_000, 4 * blocks))).first()[0]
         bounds = np.unique(np.array(cuts, np.int64))
-    last = len(bounds) + 1
 
     @F.pandas_udf("int")
     def block(x: pd.Series) -> pd.Series:
         return pd.Series((len(bounds) - np.searchsorted(bounds, x.to_numpy(), "left")).astype(np.int32))
 
     tops = rows.select("id").where("id is not null").withColumn("block", block("id")).groupBy("block").agg(F.max("id").alias("id")).collect()
-    some_null = n < rows.count()
     tops = sorted((t.block, t.id) for t in tops)
-    order = [t[0] for t in tops] + ([last] if some_null else [])
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    heads = [(i, before[b]) for b, i in tops]
-    placed = rows.where("id is not null").withColumn("block", block("id"))
-    if some_null:
-        placed = placed.unionByName(rows.where("id is null").withColumn("block", F.lit(last)))
-    if some_null:  # the rows without an id are a block of their own, after all others
-        heads.append((None, before[last]))
-    if not heads:
-        return rows.where("false").mapInArrow(_against_next, _NEXT)
+    first = rows.where(F.col("id") == tops[0][1]).agg(F.min(F.coalesce("text", F.lit("")))).first()[0] if tops else None
+    alone = rows.where("id is null").mapInArrow(_against_one(first), _NEXT)
+    if not tops:
+        return alone
+    heads = [(i, tops[k - 1][0]) for k, (_, i) in enumerate(tops)]
     heads = docs.sparkSession.createDataFrame(heads, "head long, dest int")  # at most MOST_BLOCKS rows
-    sent = placed.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head")) if some_null else F.col("id") == F.col("head"), "left")
-    sent = sent.withColumn("to", F.explode(F.when(F.col("dest").isNull(), F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("tail")))).otherwise(F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("tail")), F.struct(F.col("dest").alias("block"), F.lit(1).alias("tail"))))))
+    sent = rows.where("id is not null").withColumn("block", block("id")).join(F.broadcast(heads), F.col("id") == F.col("head"), "left")
+    own = F.struct(F.col("block").alias("block"), F.lit(0).alias("tail"))
+    sent = sent.withColumn("to", F.explode(F.when(F.col("dest").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("dest").alias("block"), F.lit(1).alias("tail"))))))
     sent = sent.select("to.block", "to.tail", "id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = sent.repartition(parts, "block").sortWithinPartitions("block", "tail", F.col("id").desc_nulls_last(), "text")
-    return sent.mapInArrow(_against_next, _NEXT)
+    sent = sent.repartition(parts, "block").sortWithinPartitions("block", "tail", F.col("id").desc(), "text")
+    return sent.mapInArrow(_against_next, _NEXT).unionByName(alone)

@@ -61,7 +61,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash fingerprints of every text and its edited text, and their likeness."""
+    """MinHash fingerprints of every text, its edited text and the next one, their likeness, and the verified
+    Jaccard similarity of those that meet in a band."""
     return fingerprints_against_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
@@ -117,10 +118,12 @@ FROM e GROUP BY conv_id
 
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in optimal length buckets and token-budget batches."""
-    docs = table(spark, sf_dir, "documents")
-    out = packing.pack(docs, packing.word_count(F.col("text")))
-    return out.withColumnRenamed("id", "doc_id").withColumn("bucket_length", F.col("bucket_length").cast("long"))
+    """Rows of all documents' words in optimal length buckets and token-budget batches; the digest is of a row's
+    tokens under its mask."""
+    out = packing.pack(table(spark, sf_dir, "documents"), packing.words_of(F.col("text")), pad="")
+    own = F.transform(F.filter(F.arrays_zip("tokens", "mask"), lambda x: x["mask"]), lambda x: x["tokens"])
+    digests = [(F.size("tokens") - F.size(own)).cast("long").alias("padding"), F.sha2(F.array_join(own, " "), 256).alias("tokens_sha256")]
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "n_tokens", "bucket", F.col("bucket_length").cast("long"), "batch", "slot", *digests)
 
 
 ORACLE_SQL["op1_packing"] = packing.pack_sql()
