@@ -19,6 +19,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: White space as the pattern means it: Unicode's White_Space, without the separators 0x1C to 0x1F.
 _SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Words in each of two generations that a worker remembers, and pairs of tokens.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 100_000, 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -261,3 +262,18 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, ids array<int>)``: the tokens alone, without what ``encoded`` works out about them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for batch in batches:
+            for a, b in K.chunks(batch.column(1), 1 << 20):
+                ids = e.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+                ends = np.cumsum([0, *(x.count(",") + 1 if x else 0 for x in ids)]).astype(np.int32)
+                flat = np.fromstring(",".join(x for x in ids if x), np.int32, sep=",") if ends[-1] else np.empty(0, np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "ids"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, ids array<int>")

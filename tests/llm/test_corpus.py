@@ -714,7 +714,8 @@ def test_bpe_equals_the_library(spark, monkeypatch):
     assert [own.decode(g) for g in got] == [library.decode(w.ids, skip_special_tokens=False) for w in want]
     rows = bpe.encoded(frame(spark, ODD), path).collect()
     assert len(rows) == len(ODD) and all(r.decoded == (t or "") for r, t in [(r, dict(ODD)[r.id]) for r in rows if r.id])
-    assert bpe.encoded(frame(spark, []), path).collect() == []
+    assert bpe.encoded(frame(spark, []), path).collect() == [] and bpe.token_ids(frame(spark, []), path).collect() == []
+    assert sorted((r.id or -1, r.ids) for r in bpe.token_ids(frame(spark, ODD), path).collect()) == sorted((r.id or -1, r.ids) for r in rows)
 
 
 def test_bpe_where_a_token_is_never_reached(tmp_path):
