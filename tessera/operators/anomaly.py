@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.columns import distance
+
 TINY = 1e-16
-def _node():
-    return Window.partitionBy("node")
 
 
-def distance(a: str, b: str):
-    """Euclidean distance of two array columns."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _node():
+    return Window.partitionBy("node")
 
 
 def mean_coords(coords: DataFrame) -> DataFrame:
@@ -39,25 +38,32 @@ def z_score(errors: DataFrame) -> DataFrame:
     return errors.withColumn("score", (F.col("err") - F.avg("err").over(_node())) / (F.stddev_pop("err").over(_node()) + TINY))
 
 
-def _others(errors: DataFrame) -> DataFrame:
-    """Each row with the other errors of its node: a list, as sums less a term cancel."""
-    packed = errors.withColumn("all", F.collect_list(F.struct("patch", "err")).over(_node()))
-    return packed.withColumn("others", F.transform(F.filter("all", lambda x: x["patch"] != F.col("patch")), lambda x: x["err"])).drop("all")
-
+def _without(errors: DataFrame) -> DataFrame:
+    """Each row with the count ``n`` of its node's other errors, and their ``mean``, ``var`` (population) and ``square`` (mean).
 
-def _mean(a: str, square: bool = False):
-    return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + (x * x if square else x)) / F.size(a))
+    Totals less the row's own term, about the node's median, so that little cancels; where what is left of the squares
+    is rounding (all others equal), it is 0.
+    """
+    middle = errors.withColumn("c", F.median("err").over(_node()))
+    d = middle.withColumn("d", F.col("err") - F.col("c"))
+    sums = d.withColumn("n", F.count(F.lit(1)).over(_node()) - 1).withColumn("s", F.sum("d").over(_node()) - F.col("d")).withColumn("all", F.sum(F.col("d") * F.col("d")).over(_node()))
+    left = sums.withColumn("q", F.col("all") - F.col("d") * F.col("d"))
+    some = F.col("n") > 0
+    shift = F.col("s") / F.col("n")
+    spread = F.col("q") / F.col("n") - shift * shift
+    floor = 1e-13 * F.col("all")
+    var = F.when(spread > floor, spread).otherwise(F.lit(0.0))
+    rows = left.withColumn("mean", F.when(some, F.col("c") + shift)).withColumn("var", F.when(some, var))
+    return rows.withColumn("square", F.when(some, F.col("var") + F.col("mean") * F.col("mean"))).drop("c", "d", "s", "q", "all")
 
 
 def leave_one_out_z(errors: DataFrame) -> DataFrame:
     """z against the node's other patches; null where there is none."""
-    rows = _others(errors).withColumn("m", _mean("others"))
-    rows = rows.withColumn("v", F.aggregate("others", F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m"))) / F.size("others"))
-    return rows.select("node", "patch", "err", F.when(F.size("others") > 0, (F.col("err") - F.col("m")) / (F.sqrt("v") + TINY)).alias("score"))
+    return _without(errors).select("node", "patch", "err", ((F.col("err") - F.col("mean")) / (F.sqrt("var") + TINY)).alias("score"))
 
 
 def leave_one_out_rms(errors: DataFrame) -> DataFrame:
-    return _others(errors).select("node", "patch", "err", (F.col("err") / (F.sqrt(_mean("others", True)) + TINY)).alias("score"))
+    return _without(errors).select("node", "patch", "err", (F.col("err") / (F.sqrt("square") + TINY)).alias("score"))
 
 
 def boosted_z(errors: DataFrame, threshold: float = 4.0, positive_only: bool = True) -> DataFrame:

@@ -14,7 +14,8 @@ from tessera.plans.iterate import cut
 
 @dataclass
 class Graph:
-    """``edges (src, dst[, weight])``, a row for each direction, and ``nodes (id)``; nodes default to the edges' ends."""
+    """``edges (src, dst[, weight])``, a row for each direction, and ``nodes (id[, label, x, y])``: a node's name, features
+    and class, where there are any.  Nodes default to the edges' ends."""
 
     edges: DataFrame
     nodes: DataFrame = field(default=None)  # type: ignore[assignment]
@@ -24,6 +25,40 @@ class Graph:
         if self.nodes is None:
             self.nodes = self.edges.select(F.col("src").alias("id")).union(self.edges.select(F.col("dst").alias("id"))).distinct()
 
+    @classmethod
+    def from_pairs(cls, pairs: DataFrame, nodes: DataFrame | None = None, weight: str | None = None) -> "Graph":
+        """A graph of undirected ``pairs (src, dst, ...)``: both directions, with the column ``weight`` if it is named.  An
+        error if some pairs have no weight; if none has one, the graph is unweighted."""
+        cols = ["src", "dst"]
+        if weight is not None:
+            some, all_ = pairs.agg(F.count(weight), F.count(F.lit(1))).first()
+            if some not in (0, all_):
+                raise ValueError(f"{all_ - some} of {all_} pairs have no {weight!r}")
+            cols += [F.col(weight).cast("double").alias("weight")] if some else []
+        return Graph(pairs.select(*cols), nodes).symmetrised()
+
+    def metadata(self) -> DataFrame:
+        """One row: ``num_nodes``, ``num_edges`` (directed), ``num_features``, ``weighted``, ``has_labels``."""
+        features = F.coalesce(F.max(F.size("x")), F.lit(0)) if "x" in self.nodes.columns else F.lit(0)
+        nodes = self.nodes.agg(F.count(F.lit(1)).alias("num_nodes"), features.cast("int").alias("num_features"))
+        edges = self.edges.agg(F.count(F.lit(1)).alias("num_edges"))
+        return nodes.join(F.broadcast(edges)).select("num_nodes", "num_edges", "num_features", F.lit(self.weighted).alias("weighted"), F.lit("label" in self.nodes.columns).alias("has_labels"))
+
+    def to_networkx(self):
+        """The graph as a networkx object, for graphs that fit the driver; needs that library."""
+        import networkx
+
+        out = networkx.DiGraph()
+        for r in self.nodes.toLocalIterator():
+            out.add_node(r["id"], **{k: v for k, v in r.asDict().items() if k != "id"})
+        for r in self.edges.toLocalIterator():
+            out.add_edge(r["src"], r["dst"], **({"weight": r["weight"]} if self.weighted else {}))
+        return out
+
+    def adjacent(self, node: int) -> DataFrame:
+        """``(id, weight)`` of a node's out-neighbours."""
+        return self.weights().where(F.col("src") == node).select(F.col("dst").alias("id"), "weight")
+
     def weights(self) -> DataFrame:
         """Edges with a weight: 1 where there is none."""
         return self.edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight") if self.weighted else F.lit(1.0).alias("weight"))
@@ -66,11 +101,50 @@ class Graph:
                 break
         return seen
 
-    def subgraph(self, keep: DataFrame) -> "Graph":
-        """The edges between nodes of ``keep (id)``; ids stay."""
+    def subgraph(self, keep: DataFrame, relabel: bool = False, keep_x: bool = True, keep_y: bool = True) -> "Graph":
+        """The edges between nodes of ``keep (id[, order])``, and these nodes with their columns.  With ``relabel`` ids are 0
+        to n-1 in order of ``order``, or of the ids, and the old ids are the nodes' ``label``."""
         ids = keep.select("id").distinct()
-        edges = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        return Graph(edges.select(*self.edges.columns), ids)
+        edges = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*self.edges.columns)
+        nodes = self.nodes.drop(*([] if keep_x else ["x"]), *([] if keep_y else ["y"])).join(ids, "id", "left_semi")
+        if not relabel:
+            return Graph(edges, nodes)
+        order = keep.groupBy("id").agg(F.min("order").alias("order")).withColumn("key", F.struct("order", "id")) if "order" in keep.columns else ids.withColumn("key", F.struct("id"))
+        numbers = cut(numbered(order.select("id", "key"), "key").select("id", "number"))
+        src, dst = numbers.toDF("src", "s"), numbers.toDF("dst", "d")
+        edges = edges.join(src, "src").join(dst, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), *(["weight"] if self.weighted else []))
+        nodes = nodes.drop("label").join(numbers, "id").select(F.col("number").alias("id"), F.col("id").alias("label"), *(c for c in ("x", "y") if c in nodes.columns))
+        return Graph(edges, nodes)
+
+    def bfs_order(self, start: int | None = None) -> DataFrame:
+        """``(id, position)``: breadth-first visiting order along out-edges from ``start`` (the smallest id by default),
+        neighbours in order of their ids; where nothing is left to reach, it goes on at the smallest id not visited.
+
+        Levels are found for all weak components at once, from each one's own first node.  In a directed graph, where
+        that may not reach all of it, a component starts again until it is done, before the next one comes.
+        """
+        parts = cut(self.nodes.select("id").join(component_labels(self.edges), "id", "left").select("id", F.coalesce("component", "id").alias("part")))
+        first = start if start is not None else parts.agg(F.min("id")).first()[0]
+        home = parts.where(F.col("id") == first).select("part").first()
+        if home is None:
+            raise ValueError(f"no node {start}")
+        front = cut(parts.groupBy("part").agg(F.min("id").alias("id")).select(F.when(F.col("part") == home[0], F.lit(first)).otherwise(F.col("id")).alias("id"), "part").withColumn("at", F.col("id") * 0))
+        parts = parts.withColumn("turn", F.when(F.col("part") == home[0], F.lit(0)).otherwise(F.lit(1)))
+        seen, step = front.withColumn("step", F.lit(0)), 0
+        while True:
+            step += 1
+            reached = front.join(self.edges.select(F.col("src").alias("id"), "dst"), "id").groupBy(F.col("dst").alias("id"), "part").agg(F.min("at").alias("parent"))
+            new = cut(reached.join(seen, "id", "left_anti"))
+            if new.isEmpty():
+                rest = parts.join(seen, "id", "left_anti").groupBy("part").agg(F.min("id").alias("id"))
+                new = cut(rest.select("id", "part", F.lit(0).cast("long").alias("parent")))
+                if new.isEmpty():
+                    break
+            front = cut(numbered(new.withColumn("key", F.struct("parent", "id")), "key").select("id", "part", F.col("number").alias("at")))
+            seen = cut(seen.unionByName(front.withColumn("step", F.lit(step))))
+        heads = seen.where("step = 0").select("part", F.col("id").alias("head"))
+        ranked = seen.join(heads, "part").join(parts.select("id", "turn"), "id")
+        return numbered(ranked.withColumn("key", F.struct("turn", "head", "step", "at")), "key").select("id", F.col("number").alias("position"))
 
     def relabelled(self) -> tuple["Graph", DataFrame]:
         """Ids 0 to n-1 in order of the old ones, and ``(id, label)`` with the old id as label.
@@ -108,6 +182,15 @@ class Graph:
         total = q.agg(F.sum("weight").alias("total"))
         return per.crossJoin(F.broadcast(total)).select("cluster", (F.col("cut") / F.least("inside", F.col("total") - F.col("inside"))).alias("conductance"))
 
+    def conductance_between(self, source: DataFrame, target: DataFrame | None = None) -> DataFrame:
+        """One row ``conductance``: edges from ``source (id)`` to ``target (id)``, by default all other nodes, over the smaller
+        of both degrees."""
+        s = source.select("id").distinct().withColumn("s", F.lit(1))
+        t = target.select("id").distinct().withColumn("t", F.lit(1)) if target is not None else self.nodes.select("id").join(s, "id", "left_anti").withColumn("t", F.lit(1))
+        named = self.edges.join(s.withColumnRenamed("id", "src"), "src", "left").join(t.toDF("src", "ts"), "src", "left").join(t.toDF("dst", "td"), "dst", "left")
+        cut_, low = F.count(F.when((F.col("s") == 1) & (F.col("td") == 1), 1)), F.least(F.count("s"), F.count("ts"))
+        return named.agg((cut_ / low).alias("conductance"))
+
     def conductance_weights(self) -> "Graph":
         """Weights over the smaller strength of an edge's ends."""
         s = self.degrees().select("id", "strength")
@@ -156,19 +239,22 @@ class Graph:
         raise ValueError("the graph has too few pairs that are no edge")
 
     def sample_positive(self, n: int, seed: int = 0) -> DataFrame:
-        """``n`` edges drawn with replacement."""
-        edges = self.edges.select("src", "dst")
-        share = max(1.0, 3.0 * n / max(1, edges.count()))
-        return edges.sample(withReplacement=True, fraction=share, seed=seed).orderBy(F.rand(seed)).limit(n)
+        """``n`` edges drawn with replacement: numbers are drawn and looked up."""
+        edges = cut(numbered(self.edges.select("src", "dst", F.struct("src", "dst").alias("key")), "key").select("src", "dst", "number"))
+        total = edges.count()
+        if not total:
+            raise ValueError("the graph has no edge to draw")
+        drawn = cut(self.edges.sparkSession.range(n).select(F.floor(F.rand(seed) * total).cast("long").alias("number")))
+        return drawn.join(edges, "number").select("src", "dst")
 
 
 def numbered(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """``rows`` with ``number``: 0 to n-1 in order of ``key`` (unique), by range counts and row numbers within."""
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(rows.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.join(F.broadcast(before), "part").withColumn("number", F.col("before") + F.col("place")).drop("part", "place", "before")
+    ranged = cut(rows.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn("number", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
 def rolling_window_graph(n_patches: DataFrame, offsets: list[int]) -> DataFrame:

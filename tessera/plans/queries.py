@@ -105,13 +105,17 @@ def iqr_score(spark, sf_dir):
     return anomaly.quantile_score(_errors(spark, sf_dir), [0.25, 0.75]).select("node", "patch", six("score"))
 
 
-@query(f"""WITH {_COORDS}, d(rep, patch) AS (SELECT r, ('0x' || substr(md5(r::VARCHAR || ':' || i::VARCHAR), 1, 6))::BIGINT % 30 FROM range(20) a(r), range(30) b(i)),
+@query(f"""WITH {_COORDS}, np AS (SELECT count(*) AS n FROM p), d(rep, patch) AS (SELECT r, ('0x' || substr(md5(r::VARCHAR || ':' || p.patch::VARCHAR), 1, 6))::BIGINT % np.n FROM range(100) a(r), p, np),
 s AS (SELECT e.node, d.rep, avg(e.err) AS m, stddev_pop(e.err) AS s FROM e JOIN d USING (patch) GROUP BY ALL), q AS (SELECT node, median(m) AS m, median(s) AS s FROM s GROUP BY node)
 SELECT node, patch, round((err - m) / (s + 1e-16), 6) AS score FROM e JOIN q USING (node)""")
 def bootstrap_z(spark, sf_dir):
-    draws = spark.range(20).withColumnRenamed("id", "rep").crossJoin(spark.range(30).withColumnRenamed("id", "i"))
-    draws = draws.select("rep", (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 6), 16, 10).cast("long") % 30).alias("patch"))
-    return anomaly.bootstrap_z(_errors(spark, sf_dir), draws).select("node", "patch", six("score"))
+    """100 samples of as many patches as there are."""
+    errors = _errors(spark, sf_dir)
+    patches = errors.select("patch").distinct()
+    n = patches.count()
+    draws = patches.select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"), F.col("patch").alias("i"))
+    draws = draws.select("rep", (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 6), 16, 10).cast("long") % n).alias("patch"))
+    return anomaly.bootstrap_z(errors, draws).select("node", "patch", six("score"))
 
 
 @query(f"""WITH {_COORDS}, s AS (SELECT x.node, x.patch, x.k, x.v, avg(v) OVER (PARTITION BY node, k ORDER BY patch RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM x)
@@ -135,21 +139,22 @@ def local_error(spark, sf_dir):
     return _errors(spark, sf_dir).select("node", "patch", six("err"))
 
 
-@query(f"""WITH {_COORDS}, f AS (SELECT node, k, v FROM x WHERE patch = 0), g AS (SELECT node, k, v FROM x WHERE patch = 1),
-b AS (SELECT f.k, var_pop(f.v) AS va, var_pop(g.v) AS vb FROM f JOIN g USING (node, k) GROUP BY f.k) SELECT round(sqrt(sum(va) / sum(vb)), 6) AS scale FROM b""")
+@query(f"""WITH {_COORDS}, b AS (SELECT f.patch AS i, g.patch AS j, f.k, var_pop(f.v) AS va, var_pop(g.v) AS vb FROM x f JOIN x g ON f.node = g.node AND f.k = g.k AND f.patch < g.patch GROUP BY ALL)
+SELECT i, j, round(sqrt(sum(va) / sum(vb)), 6) AS scale FROM b GROUP BY ALL""")
 def relative_scale(spark, sf_dir):
+    """Of every two days, over the users that both have."""
     from tessera.operators.align import relative_scale as run
 
     coords = _coords(spark, sf_dir)
-    a, b = coords.where("patch = 0").select("node", F.col("coord").alias("a")), coords.where("patch = 1").select("node", F.col("coord").alias("b"))
-    return run(a.join(b, "node")).select(six("scale"))
+    a, b = coords.select("node", F.col("patch").alias("i"), F.col("coord").alias("a")), coords.select("node", F.col("patch").alias("j"), F.col("coord").alias("b"))
+    return run(a.join(b, "node").where("i < j"), "i", "j").select("i", "j", six("scale"))
 
 
-@query(f"WITH {_COORDS}, m AS (SELECT DISTINCT node, patch FROM x) SELECT a.patch AS i, b.patch AS j, count(*) AS n FROM m a JOIN m b ON a.node = b.node AND b.patch > a.patch AND b.patch - a.patch <= 3 GROUP BY ALL")
+@query(f"WITH {_COORDS}, m AS (SELECT DISTINCT node, patch FROM x) SELECT a.patch AS i, b.patch AS j, count(*) AS n FROM m a JOIN m b ON a.node = b.node AND b.patch > a.patch GROUP BY ALL")
 def overlap_sizes(spark, sf_dir):
+    """Users that every two days share; a user's days are few."""
     c = _coords(spark, sf_dir).select("node", "patch")
-    steps = c.select("node", F.col("patch").alias("i"), F.explode(F.array(*(F.lit(k) for k in (1, 2, 3)))).alias("o")).select("node", "i", (F.col("i") + F.col("o")).alias("j"))
-    return steps.join(c.withColumnRenamed("patch", "j"), ["node", "j"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+    return c.toDF("node", "i").join(c.toDF("node", "j"), "node").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.label AS node, a.vec_id AS p, b.vec_id AS q, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id),
@@ -185,9 +190,33 @@ def edge_probe(spark, sf_dir):
     return T.part_co_orders(spark, sf_dir).probe(pairs)
 
 
-@query(f"WITH {_PART_CO} SELECT DISTINCT dst AS id FROM pc WHERE src IN (1, 2, 3)")
+_BRAND = "br AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 1), k AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part WHERE p_brand = (SELECT p_brand FROM br))"
+
+
+def _commonest_brand(spark, sf_dir) -> DataFrame:
+    """``(id)`` of the parts of the commonest brand."""
+    part = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand")
+    first = part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p_brand").limit(1)
+    return part.join(F.broadcast(first.select("p_brand")), "p_brand").select("id")
+
+
+@query(f"WITH {_PART_CO}, {_BRAND} SELECT DISTINCT dst AS id FROM pc WHERE src IN (SELECT id FROM k)")
 def neighbours(spark, sf_dir):
-    return T.part_co_orders(spark, sf_dir).neighbours(spark.range(1, 4))
+    """Of the parts of the commonest brand."""
+    return T.part_co_orders(spark, sf_dir).neighbours(_commonest_brand(spark, sf_dir))
+
+
+@query(f"WITH {_SUPP_CO} SELECT dst AS id, weight FROM sc WHERE src = (SELECT min(src) FROM sc)")
+def adjacent(spark, sf_dir):
+    """The first supplier's neighbours and weights."""
+    g = T.supplier_co_orders(spark, sf_dir)
+    return g.adjacent(g.nodes.agg(F.min("id")).first()[0] or 0)
+
+
+@query(f"WITH {_LINES} SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM isl")
+def bfs_order(spark, sf_dir):
+    """A chain's nodes come in order of their ids, and chains in order of their first."""
+    return T.line_chains(spark, sf_dir).bfs_order()
 
 
 @query(f"WITH {_LINES} SELECT id, (n - 1)::INT AS hop FROM isl WHERE g = 0 AND n <= 3")
@@ -203,10 +232,10 @@ def bfs_levels(spark, sf_dir):
     return g.levels(g.nodes.where("id % 8 = 1"))
 
 
-@query(f"WITH {_PART_CO}, k AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part WHERE p_partkey % 5 = 0) SELECT a.n AS src, b.n AS dst FROM pc JOIN k a ON a.id = src JOIN k b ON b.id = dst")
+@query(f"WITH {_PART_CO}, {_BRAND} SELECT a.n AS src, b.n AS dst FROM pc JOIN k a ON a.id = src JOIN k b ON b.id = dst")
 def induced_subgraph(spark, sf_dir):
-    keep = T.table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"))
-    return T.part_co_orders(spark, sf_dir).subgraph(keep).relabelled()[0].edges
+    """Of the parts of the commonest brand, relabelled."""
+    return T.part_co_orders(spark, sf_dir).subgraph(_commonest_brand(spark, sf_dir), relabel=True).edges
 
 
 _COMPONENTS = f"""WITH {_LINES}, m AS (SELECT id, min(id) OVER (PARTITION BY o, g) AS root FROM isl),
@@ -242,6 +271,17 @@ def conductance(spark, sf_dir):
     return T.part_co_orders(spark, sf_dir).conductance(_mod_partition(spark, sf_dir)).select("cluster", six("conductance"))
 
 
+@query(f"WITH {_PART_CO} SELECT round(count(*) FILTER (src % 7 = 0 AND dst % 7 = 1) / least(count(*) FILTER (src % 7 = 0), count(*) FILTER (src % 7 = 1)), 6) AS conductance FROM pc")
+def conductance_between(spark, sf_dir):
+    part = _mod_partition(spark, sf_dir)
+    return T.part_co_orders(spark, sf_dir).conductance_between(part.where("cluster = 0"), part.where("cluster = 1")).select(six("conductance"))
+
+
+@query(f"WITH {_SUPP_CO} SELECT (SELECT count(DISTINCT src) FROM sc) AS num_nodes, (SELECT count(*) FROM sc) AS num_edges, 0 AS num_features, true AS weighted, false AS has_labels")
+def graph_metadata(spark, sf_dir):
+    return T.supplier_co_orders(spark, sf_dir).metadata()
+
+
 @query(f"WITH {_SUPP_CO}, s AS (SELECT src AS id, sum(weight) AS s FROM sc GROUP BY 1) SELECT src, dst, round(weight / least(a.s, b.s), 6) AS weight FROM sc JOIN s a ON a.id = src JOIN s b ON b.id = dst")
 def conductance_weights(spark, sf_dir):
     return T.supplier_co_orders(spark, sf_dir).conductance_weights().edges.select("src", "dst", six("weight"))
@@ -252,14 +292,25 @@ def mutual_knn(spark, sf_dir):
     return T.supplier_co_orders(spark, sf_dir).mutual_nearest(4).edges
 
 
-@query()
+#: Every two suppliers' best worst edge over all paths, as a rank of edges by weight (1 the heaviest), by Floyd's recursion.
+_WIDEST = f"""{_SUPP_CO}, ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT src AS id FROM sc)),
+rk AS (SELECT src, dst, weight, row_number() OVER (ORDER BY weight DESC, src, dst) AS r FROM sc WHERE src < dst),
+f0 AS (SELECT a.k AS i, b.k AS j, coalesce(rk.r, 1000000000) AS b FROM ids a CROSS JOIN ids b LEFT JOIN rk ON rk.src = least(a.id, b.id) AND rk.dst = greatest(a.id, b.id)),
+fw AS (SELECT 0::BIGINT AS step, i, j, b FROM f0 UNION ALL SELECT f.step + 1, f.i, f.j, least(f.b, greatest(x.b, y.b)) FROM fw f JOIN fw x ON x.i = f.i AND x.j = f.step JOIN fw y ON y.i = f.step AND y.j = f.j WHERE f.step < (SELECT count(*) FROM ids)),
+wide AS (SELECT a.id AS src, c.id AS dst, b FROM fw JOIN ids a ON a.k = i JOIN ids c ON c.k = j WHERE step = (SELECT count(*) FROM ids)),
+tree AS (SELECT rk.src, rk.dst, weight FROM rk JOIN wide USING (src, dst) WHERE b = r)"""
+_MUTUAL = "t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM sc QUALIFY r <= 4), mu AS (SELECT a.src, a.dst, a.weight FROM t a JOIN t b ON a.src = b.dst AND a.dst = b.src)"
+
+
+@query(f"WITH RECURSIVE {_WIDEST} SELECT src, dst, weight FROM tree")
 def spanning_forest(spark, sf_dir):
     return T.supplier_co_orders(spark, sf_dir).heaviest_forest()
 
 
-@query("WITH p AS (SELECT unnest(range(0, 30)) AS p), o AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS o), q AS (SELECT p AS a, p + o AS b FROM p, o WHERE p + o < 30) SELECT a AS src, b AS dst FROM q UNION ALL SELECT b, a FROM q")
+@query("WITH p AS (SELECT DISTINCT date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) AS d FROM events), q AS (SELECT row_number() OVER (ORDER BY d) - 1 AS p FROM p), o AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS o) SELECT a.p AS src, b.p AS dst FROM q a JOIN q b ON abs(a.p - b.p) IN (SELECT o FROM o)")
 def rolling_patch_graph(spark, sf_dir):
-    return rolling_window_graph(spark.range(30).withColumnRenamed("id", "patch"), [1, 2, 3, 4, 5, 6])
+    """The events' days, those less than a week apart linked."""
+    return rolling_window_graph(_day_numbers(T.daily_flows(spark, sf_dir)).select("patch"), [1, 2, 3, 4, 5, 6])
 
 
 @query(f"WITH {_PART_CO} SELECT DISTINCT src % 7 AS i, dst % 7 AS j, src AS node FROM pc WHERE src % 7 <> dst % 7")
@@ -344,6 +395,12 @@ def results_best(spark, sf_dir):
     return score.best(_results(spark, sf_dir), dims, "auc")
 
 
+@query("WITH d AS (SELECT unnest([2, 4, 6, 99])::INT AS dim), r AS (SELECT l_linenumber * 2 AS dim, min(l_discount) AS b, count(DISTINCT l_orderkey % 10) AS n FROM lineitem GROUP BY 1) SELECT d.dim, coalesce(b, 'infinity'::DOUBLE) AS worst, coalesce(n, 0) AS runs, coalesce(n, 0) > 0 AS found FROM d LEFT JOIN r USING (dim)")
+def results_worst(spark, sf_dir):
+    r, dims = _results(spark, sf_dir), spark.sql("SELECT * FROM VALUES (2), (4), (6), (99) AS d(dim)")
+    return score.worst(r, dims, "auc").join(score.runs(r, dims), "dim").join(score.has_dim(r, dims), "dim")
+
+
 # ---- patch graphs, partitions, alignment --------------------------------------------------------
 
 
@@ -378,58 +435,128 @@ def diffusion_clusters(spark, sf_dir):
     return diffusion(g, g.nodes.where("id % 20 = 3"), 3)
 
 
-@query()
+def _invariants(graph: Graph, sparse: Graph) -> DataFrame:
+    """One row: directed edges, whether they are symmetric and the graph's own, and components."""
+    edges = sparse.weights()
+    own = edges.join(graph.weights(), ["src", "dst", "weight"], "left_semi").agg(F.count(F.lit(1)).alias("own"))
+    both = edges.join(edges.toDF("dst", "src", "weight"), ["src", "dst", "weight"], "left_semi").agg(F.count(F.lit(1)).alias("both"))
+    parts = Graph(sparse.edges, graph.nodes).components().agg(F.countDistinct("component").alias("components"))
+    one = edges.agg(F.count(F.lit(1)).alias("n_edges")).join(F.broadcast(own)).join(F.broadcast(both)).join(F.broadcast(parts))
+    return one.select("n_edges", (F.col("own") == F.col("n_edges")).alias("own"), (F.col("both") == F.col("n_edges")).alias("symmetric"), "components")
+
+
+_SPARSE = f"WITH {_SUPP_CO}, n AS (SELECT count(DISTINCT src) AS n, count(*) AS e FROM sc) SELECT least(2 * (4 * n // 2), e)::BIGINT AS n_edges, true AS own, true AS symmetric, 1::BIGINT AS components FROM n"
+
+
+@query(_SPARSE)
 def resistance_sparsified(spark, sf_dir):
+    """What holds of any draw: its size, own edges, symmetry, connectedness."""
     from tessera.operators.thin import resistance_sparsify
 
-    return resistance_sparsify(T.supplier_co_orders(spark, sf_dir)).edges
+    g = T.supplier_co_orders(spark, sf_dir)
+    return _invariants(g, resistance_sparsify(g))
 
 
-@query()
+@query(_SPARSE)
 def sample_sparsified(spark, sf_dir):
     from tessera.operators.thin import sample_sparsify
 
-    return sample_sparsify(T.supplier_co_orders(spark, sf_dir)).edges
+    g = T.supplier_co_orders(spark, sf_dir)
+    return _invariants(g, sample_sparsify(g))
+
 
+@query("SELECT 200::BIGINT AS n, 0::BIGINT AS edges, 0::BIGINT AS loops")
+def negative_samples(spark, sf_dir):
+    """How many of 200 drawn pairs are edges, or no pairs."""
+    g = T.line_chains(spark, sf_dir)
+    found = g.probe(g.sample_negative(200, 3))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_edge"), 1)).alias("edges"), F.count(F.when(F.expr("src = dst"), 1)).alias("loops"))
+
+
+@query("SELECT 200::BIGINT AS n, 200::BIGINT AS edges")
+def positive_samples(spark, sf_dir):
+    g = T.line_chains(spark, sf_dir)
+    return g.probe(g.sample_positive(200, 3)).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_edge"), 1)).alias("edges"))
 
-@query()
+
+@query(f"WITH RECURSIVE {_WIDEST}, {_MUTUAL} SELECT src, dst, weight FROM mu UNION SELECT src, dst, weight FROM tree UNION SELECT dst, src, weight FROM tree")
 def neighbour_sparsified(spark, sf_dir):
     from tessera.operators.thin import neighbour_sparsify
 
     return neighbour_sparsify(T.supplier_co_orders(spark, sf_dir)).edges
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WIDEST}, best AS (SELECT src AS id, max(weight) AS d FROM sc GROUP BY 1)
+SELECT sc.src, sc.dst, sc.weight FROM sc JOIN wide ON wide.src = sc.src AND wide.dst = sc.dst JOIN rk ON rk.r = wide.b JOIN best a ON a.id = sc.src JOIN best b ON b.id = sc.dst
+WHERE sc.weight >= rk.weight OR rk.weight - 0.01::DOUBLE * (a.d + b.d) < sc.weight""")
 def relaxed_tree(spark, sf_dir):
     from tessera.operators.thin import relaxed_tree as run
 
     return run(T.supplier_co_orders(spark, sf_dir), gamma=0.01).edges
 
 
-@query()
+def _covers(found: DataFrame, cap) -> DataFrame:
+    """One row: nodes, clusters, nodes without one, and whether the largest cluster is within ``cap`` (of the node count)."""
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    one = sizes.agg(F.sum("n").alias("nodes"), F.count("cluster").alias("clusters"), F.coalesce(F.sum(F.when(F.col("cluster").isNull(), F.col("n"))), F.lit(0)).alias("free"), F.max("n").alias("largest"))
+    return one.select("nodes", "clusters", "free", (F.col("largest") <= cap(F.col("nodes"))).alias("balanced"))
+
+
+@query(f"WITH {_LINES} SELECT count(*) AS nodes, 5::BIGINT AS clusters, 0::BIGINT AS free, true AS balanced FROM ln")
 def fennel_clusters(spark, sf_dir):
+    """Whether all nodes have a cluster, and none is too large."""
     from tessera.operators.partition import fennel
 
-    return fennel(T.line_chains(spark, sf_dir), 5)
+    return _covers(fennel(T.line_chains(spark, sf_dir), 5), lambda n: 1.1 * n / 5)
+
 
+@query(f"WITH {_PART_CO} SELECT count(DISTINCT src) AS nodes, 7::BIGINT AS clusters, 0::BIGINT AS free, true AS balanced FROM pc")
+def kway_clusters(spark, sf_dir):
+    from tessera.operators.cluster import kway
 
-@query()
+    return _covers(kway(T.part_co_orders(spark, sf_dir), 7), lambda n: F.ceil(1.05 * n / 7))
+
+
+@query(f"WITH {_LINES} SELECT count(DISTINCT (o, g)) AS clusters, 0::BIGINT AS \"across\" FROM isl WHERE n > 0")
+def louvain_clusters(spark, sf_dir):
+    """Chains of up to seven lines are cut into clusters, none of which holds nodes of two chains: no fewer clusters than chains
+    are counted as many, and edges between components as none."""
+    from tessera.operators.cluster import louvain
+
+    g = T.line_chains(spark, sf_dir)
+    both = louvain(g).join(g.components(), "id")
+    mixed = both.groupBy("cluster").agg(F.countDistinct("component").alias("k")).where("k > 1").agg(F.count(F.lit(1)).alias("across"))
+    return both.agg(F.countDistinct("component").alias("clusters")).join(F.broadcast(mixed)).select("clusters", "across")
+
+
+def _round(k: int) -> str:
+    return f"v{k} AS (SELECT src AS id, cluster, sum(weight) AS w FROM sc JOIN l{k} ON l{k}.id = dst GROUP BY ALL), l{k + 1} AS (SELECT id, arg_max(cluster, (w, -cluster)) AS cluster FROM v{k} GROUP BY id)"
+
+
+@query(f"WITH {_SUPP_CO}, l0 AS (SELECT DISTINCT src AS id, src AS cluster FROM sc), {', '.join(_round(k) for k in range(5))} SELECT id, cluster FROM l5")
 def label_clusters(spark, sf_dir):
     from tessera.operators.partition import label_propagation
 
     return label_propagation(T.supplier_co_orders(spark, sf_dir), 5)
 
 
-@query()
+@query(f"WITH {_LINES} SELECT count(*) AS nodes, true AS large, 0::BIGINT AS split FROM ln")
 def merged_clusters(spark, sf_dir):
+    """Whether clusters are large enough, and none of those given is split."""
     from tessera.operators.partition import merge_small
 
     g = T.line_chains(spark, sf_dir)
-    return merge_small(g, g.nodes.select("id", F.floor(F.sqrt(F.floor(F.col("id") / 8))).alias("cluster")), 500)
+    given = g.nodes.select("id", F.floor(F.sqrt(F.floor(F.col("id") / 8))).alias("cluster"))
+    both = merge_small(g, given, 500).join(given.withColumnRenamed("cluster", "was"), "id")
+    split = both.groupBy("was").agg(F.countDistinct("cluster").alias("k")).where("k > 1").agg(F.count(F.lit(1)).alias("split"))
+    return both.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("nodes"), (F.min("n") >= 500).alias("large")).join(F.broadcast(split)).select("nodes", "large", "split")
 
 
-@query()
+@query(f"""WITH {_PART_CO}, se AS (SELECT DISTINCT src % 7 AS i, dst % 7 AS j, src AS node FROM pc WHERE (src % 7 + 1) % 7 = dst % 7 OR (dst % 7 + 1) % 7 = src % 7),
+k AS (SELECT j, node, row_number() OVER (PARTITION BY i, j ORDER BY md5('0:' || node::VARCHAR), node) AS r FROM se)
+SELECT p_partkey % 7 AS patch, p_partkey AS node FROM part UNION SELECT j, node FROM k WHERE r <= 20""")
 def overlapping_patches(spark, sf_dir):
+    """Neighbours in a ring of seven clusters; each gives nodes enough next to the other, so that no hop is needed."""
     from tessera.operators.partition import overlapping_patches as run
 
     part = _mod_partition(spark, sf_dir)
@@ -437,11 +564,17 @@ def overlapping_patches(spark, sf_dir):
     return run(T.part_co_orders(spark, sf_dir), part, pairs, 10, 40)
 
 
-@query()
+@query(f"WITH {_FLOWS}, n AS (SELECT DISTINCT day FROM fl) SELECT day, k, l, (k = l)::INT::DOUBLE AS product, 0::DOUBLE AS trivial FROM n, range(2) a(k), range(2) b(l)")
 def svd_patches(spark, sf_dir):
+    """Every day's user vectors: their products under the users' weights are 0 and 1, and that with the trivial vector is 0."""
     from tessera.operators.embed import svd_patches as run
 
-    return run(T.daily_flows(spark, sf_dir), 2)
+    flows = T.daily_flows(spark, sf_dir)
+    r = flows.groupBy("day", F.col("src").cast("string").alias("node")).agg(F.sum("weight").alias("r"))
+    u = run(flows, 2).where("side = 'src'").join(r, ["day", "node"])
+    sums = u.groupBy("day").agg(*(F.sum(F.col("r") * F.col("coord")[k] * F.col("coord")[q]).alias(f"p{k}{q}") for k in (0, 1) for q in (0, 1)), *(F.sum(F.col("r") * F.col("coord")[k]).alias(f"t{k}") for k in (0, 1)))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(q).cast("long").alias("l"), F.abs(F.round(f"p{k}{q}", 5)).alias("product"), F.abs(F.round(f"t{k}", 5)).alias("trivial")) for k in (0, 1) for q in (0, 1))))
+    return sums.select("day", rows.alias("x")).select("day", "x.*")
 
 
 def _rolling_edges(spark, coords: DataFrame, window: int) -> DataFrame:
@@ -449,40 +582,113 @@ def _rolling_edges(spark, coords: DataFrame, window: int) -> DataFrame:
     return rolling_window_graph(patches, list(range(1, window))).where("src < dst").select(F.col("src").alias("i"), F.col("dst").alias("j"))
 
 
-@query()
+def _hidden(spark, sf_dir) -> DataFrame:
+    """``(node, patch, coord)``: users at their mean coordinates on each of their days, all days' axes turned, stretched and
+    shifted by the day; after alignment they must fall together."""
+    coords = _coords(spark, sf_dir)
+    at = coords.select("node", "patch").join(anomaly.mean_coords(coords), "node")
+    turn, size = F.col("patch") * 0.7, 1 + F.col("patch") / 10
+    x = [F.col("ref")[k] for k in range(5)]
+    moved = [F.cos(turn) * x[0] - F.sin(turn) * x[3], x[1], F.cos(2 * turn) * x[2] - F.sin(2 * turn) * x[4], F.sin(turn) * x[0] + F.cos(turn) * x[3], F.sin(2 * turn) * x[2] + F.cos(2 * turn) * x[4]]
+    return at.select("node", "patch", F.array(*(size * v + F.col("patch") * (k + 1) for k, v in enumerate(moved))).alias("coord"))
+
+
+def _fallen(errors: DataFrame) -> DataFrame:
+    return errors.select("node", "patch", F.abs(F.round("err", 4)).alias("err"))
+
+
+@query(f"WITH {_COORDS} SELECT node, patch, 0::DOUBLE AS err FROM e")
 def align_global(spark, sf_dir):
-    """Distance of each user's day from its mean over all days after aligning the days to each other."""
+    """Distance of each user's day from its mean over all days after aligning hidden transforms away."""
     from tessera.operators.align import aligned
 
-    coords = _coords(spark, sf_dir)
+    coords = _hidden(spark, sf_dir)
     moved = aligned(coords, _rolling_edges(spark, coords, 4), 5)
-    return anomaly.local_errors(moved, anomaly.mean_coords(moved))
+    return _fallen(anomaly.local_errors(moved, anomaly.mean_coords(moved)))
 
 
-@query()
+@query(f"WITH {_COORDS}, w AS (SELECT DISTINCT node, patch // 7 AS patch FROM e), f AS (SELECT min(patch) AS first FROM w) SELECT w.node, w.patch, 0::DOUBLE AS err FROM w, f WHERE w.patch = first OR EXISTS (SELECT 1 FROM w v WHERE v.node = w.node AND v.patch < w.patch)")
 def align_temporal(spark, sf_dir):
+    """Week after week of hidden transforms against the mean of the weeks before."""
     from tessera.operators.align import temporal_errors
 
-    weeks = _coords(spark, sf_dir).select("node", F.floor(F.col("patch") / 7).alias("patch"), F.posexplode("coord").alias("k", "v")).groupBy("node", "patch", "k").agg(F.avg("v").alias("v"))
-    weeks = weeks.groupBy("node", "patch").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x")).select("node", "patch", F.col("x.v").alias("coord"))
-    return temporal_errors(weeks, [r.patch for r in weeks.select("patch").distinct().orderBy("patch").collect()], 5)
+    coords = _coords(spark, sf_dir)
+    weeks = coords.select("node", F.floor(F.col("patch") / 7).alias("patch")).distinct()
+    rows = weeks.join(anomaly.mean_coords(coords), "node").select("node", "patch", F.transform("ref", lambda x: (1 + F.col("patch")) * x + F.col("patch")).alias("coord"))
+    return _fallen(temporal_errors(rows, [r.patch for r in rows.select("patch").distinct().orderBy("patch").collect()], 5))
 
 
-@query()
+@query(f"WITH {_COORDS} SELECT node, patch, 0::DOUBLE AS err FROM e WHERE patch >= 6")
 def align_windowed(spark, sf_dir):
+    """Each day against the week that it ends, hidden transforms aligned away jointly."""
     from tessera.operators.align import windowed_errors
 
-    return windowed_errors(_coords(spark, sf_dir), 7, 5)
+    return _fallen(windowed_errors(_hidden(spark, sf_dir), 7, 5))
 
 
-@query()
+@query(f"WITH {_SUPP_CO} SELECT count(DISTINCT src) AS nodes, true AS finite, 4 AS width FROM sc")
 def gae_embedding(spark, sf_dir):
-    from tessera.operators.embed import gae_patches
+    """Whether every supplier has coordinates that are numbers."""
+    return _embedded(spark, sf_dir, "gae")
+
+
+@query(f"WITH {_SUPP_CO} SELECT count(DISTINCT src) AS nodes, true AS finite, 4 AS width FROM sc")
+def vgae_embedding(spark, sf_dir):
+    return _embedded(spark, sf_dir, "vgae")
+
+
+@query(f"WITH {_SUPP_CO} SELECT count(DISTINCT src) AS nodes, true AS finite, 4 AS width FROM sc")
+def dgi_embedding(spark, sf_dir):
+    return _embedded(spark, sf_dir, "dgi")
+
+
+def _embedded(spark, sf_dir, model: str) -> DataFrame:
+    from tessera.operators.neural import train_patches
 
     edges = T.supplier_co_orders(spark, sf_dir).edges.withColumn("patch", F.lit(0).cast("long"))
-    return gae_patches(edges, 4, epochs=30)
+    got = train_patches(edges, 4, model, epochs=30)
+    fine = F.forall("coord", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
+    return got.agg(F.count(F.lit(1)).alias("nodes"), F.min(fine).alias("finite"), F.max(F.size("coord")).alias("width"))
 
 
-@query()
+@query(f"WITH {_COORDS} SELECT node, patch, true AS inside FROM e")
 def isolation_forest(spark, sf_dir):
-    return anomaly.isolation_forest(_coords(spark, sf_dir))
+    """Whether every score lies between 0 and 1."""
+    return anomaly.isolation_forest(_coords(spark, sf_dir)).select("node", "patch", F.expr("score >= 0 and score <= 1").alias("inside"))
+
+
+@query("SELECT 'test_accuracy' AS key, true AS good UNION ALL SELECT 'val_accuracy', true")
+def classifier_search(spark, sf_dir):
+    """Whether the best of a grid of classifiers tells the embeddings' labels apart better than chance."""
+    from tessera.operators import classify
+
+    rows = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("coord"), F.col("label").cast("long").alias("y"))
+    labels = rows.select("id", "y")
+    found = classify.ranked(classify.search(classify.problem(rows.select("id", "coord"), labels, score.random_split(labels, 20, 100)), classify.grid(kind=["logistic", "mlp"], hidden=16, epochs=40, lr=0.05))).limit(1)
+    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), (F.col(k) > 0.3).alias("good")) for k in ("val_accuracy", "test_accuracy"))))
+    return found.select(keys.alias("x")).select("x.*")
+
+
+@query(f"""WITH {_COORDS}, u AS (SELECT 'src' AS side, node::VARCHAR AS node, patch FROM e UNION ALL SELECT DISTINCT 'dst', dst, patch FROM fl JOIN p USING (day))
+SELECT side, node, patch, true AS fine FROM u WHERE patch >= 6""")
+def temporal_pipeline(spark, sf_dir):
+    """The whole temporal run over the events: which nodes and days have an error."""
+    import uuid
+
+    from tessera.plans.iterate import shared_dir
+    from tessera.plans.stages import temporal_pipeline as run
+
+    got = run(spark, T.daily_flows(spark, sf_dir), f"{shared_dir(spark)}/temporal-{uuid.uuid4().hex}", dim=2, window=7)
+    return got.select("side", "node", "patch", (F.col("err") >= 0).alias("fine"))
+
+
+@query("SELECT 2 AS dim, 0::BIGINT AS run, 'auc' AS key, true AS inside")
+def static_pipeline(spark, sf_dir):
+    """The whole static run over the parts' graph, with few epochs: whether it ends in an area under the curve."""
+    import uuid
+
+    from tessera.plans.iterate import shared_dir
+    from tessera.plans.stages import static_pipeline as run
+
+    got = run(spark, T.part_co_orders(spark, sf_dir), f"{shared_dir(spark)}/static-{uuid.uuid4().hex}", epochs=10, runs=1, clusters=7, sparsify="sample", baseline=False, lr=0.01)
+    return got.select("dim", "run", "key", F.expr("value > 0 and value < 1").alias("inside"))
