@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -204,14 +206,16 @@ class Graph:
         back = top.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         return Graph(top.join(back, ["src", "dst"], "left_semi"), self.nodes)
 
-    def heaviest_forest(self, maximise: bool = True) -> DataFrame:
-        """Canonical edges ``(src < dst, weight)`` of a spanning forest by Boruvka rounds.
+    def heaviest_forest(self, maximise: bool = True, most: int = 2_000_000) -> DataFrame:
+        """Canonical edges ``(src < dst, weight)`` of a spanning forest.
 
-        Each round every component takes its best edge out; ties go to the smaller ends, so the choice is
-        one total order and no cycle arises.
+        Edges come by weight, ties by the smaller ends, which is one total order and so one forest.  Up to ``most``
+        edges one task takes them in turn; beyond that, in Boruvka rounds, every component takes its best edge out.
         """
         sign = F.lit(-1.0 if maximise else 1.0)
         edges = cut(self.weights().where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").groupBy("src", "dst").agg(F.max("weight").alias("weight") if maximise else F.min("weight").alias("weight")))
+        if edges.count() <= most:
+            return cut(edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_in_turn(maximise), "src long, dst long, weight double"))
         labels = self.nodes.select("id", F.col("id").alias("root"))
         tree: DataFrame | None = None
         while True:
@@ -222,7 +226,10 @@ class Graph:
             if picked.isEmpty():
                 return tree if tree is not None else picked
             tree = cut(picked if tree is None else tree.unionByName(picked).distinct())
-            labels = cut(self.nodes.select("id").join(component_labels(tree), "id", "left").select("id", F.coalesce("component", "id").alias("root")))
+            # What was joined before is one node now: only the round's own edges join roots.
+            joined = picked.join(a, "src").join(b, "dst").select(F.col("ra").alias("src"), F.col("rb").alias("dst"))
+            roots = component_labels(joined).select(F.col("id").alias("root"), F.col("component").alias("above"))
+            labels = cut(labels.join(roots, "root", "left").select("id", F.coalesce("above", "root").alias("root")))
 
     def sample_negative(self, n: int, seed: int = 0) -> DataFrame:
         """``n`` pairs of different nodes that are no edge, drawn with replacement; needs a sparse graph."""
@@ -248,6 +255,29 @@ class Graph:
         return drawn.join(edges, "number").select("src", "dst")
 
 
+def _in_turn(maximise: bool):
+    """Takes a graph's edges by weight, those that join two trees."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["weight", "src", "dst"], ascending=[not maximise, True, True], ignore_index=True)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        keep = np.zeros(len(rows), bool)
+        for k, (a, b) in enumerate(zip(rows.src.tolist(), rows.dst.tolist(), strict=True)):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)], keep[k] = min(a, b), True
+        return rows.loc[keep, ["src", "dst", "weight"]]
+
+    return run
+
+
 def numbered(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """``rows`` with ``number``: 0 to n-1 in order of ``key`` (unique), by range counts and row numbers within."""
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -64,10 +64,12 @@ def test_flow_files(spark, tmp_path):
     assert tables.adjacency(tables.read_flows(spark, str(tmp_path)), "total_time").agg(F.sum("weight")).first()[0] == 10.0
 
 
-def test_spanning_forest(spark):
-    tree = {(r.src, r.dst) for r in graph(spark, TRIANGLES + [(8, 9, 1.0)]).heaviest_forest().collect()}
+@pytest.mark.parametrize("most", [100, 3])
+def test_spanning_forest(spark, most):
+    """In one task, and in rounds."""
+    tree = {(r.src, r.dst) for r in graph(spark, TRIANGLES + [(8, 9, 1.0)]).heaviest_forest(most=most).collect()}
     assert tree == {(1, 2), (0, 2), (2, 3), (4, 5), (3, 5), (8, 9)}
-    low = {(r.src, r.dst) for r in graph(spark, TRIANGLES).heaviest_forest(False).collect()}
+    low = {(r.src, r.dst) for r in graph(spark, TRIANGLES).heaviest_forest(False, most=most).collect()}
     assert low == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)}
 
 
