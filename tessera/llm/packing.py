@@ -67,6 +67,11 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def hashed_words(text: Column, size: int = 1 << 20) -> Column:
+    """The words of a text as numbers from 1 to ``size``, by hash: tokens that need no vocabulary; 0 is free for padding."""
+    return F.transform(words_of(text), lambda w: (F.pmod(F.xxhash64(w), F.lit(size)) + 1).cast("int"))
+
+
 def pack(docs: DataFrame, tokens: Column, id_col: str = "doc_id", longest: int = LONGEST, budget: int = BUDGET, buckets: int = BUCKETS, pad: object = None) -> DataFrame:
     """``(id, piece, start, n_tokens, bucket, bucket_length, batch, slot)``, a row for each piece.
 

@@ -753,7 +753,6 @@ def test_pipeline_stages(spark, tmp_path):
     table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     table.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, int(i >= 400)) for i, _ in docs if i % 4], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    pytest.importorskip("public_tokenizers")
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(range(200)) | {300, 305}
     assert all(len(r.tokens) == r.bucket_length and sum(r.mask) == r.n_tokens for r in packed)
