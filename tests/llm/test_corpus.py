@@ -783,3 +783,19 @@ def test_pipeline_with_repeated_and_null_ids_and_clashing_columns(spark, tmp_pat
         now = stage(spark, now, str(tmp_path))
         assert now.columns == docs.columns
     assert {r.doc_id for r in now.collect()} == {1, 7, None, 9}
+
+
+def test_links_leave_no_intermediate_checkpoints(spark):
+    import glob
+
+    from tessera.llm.near_dup import classes_of, near_duplicate_links, sketches
+    from tessera.plans.iterate import cut, shared_dir
+
+    common = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(k, " ".join([*common[: k + 20], f"x{k}", *common[k + 20 :]])) for k in range(60)], "doc_id long, text string")
+    reps = cut(classes_of(sketches(docs)).select("id", "n", "regs"))
+    folders = lambda: set(glob.glob(shared_dir(spark).removeprefix("file:") + "/**/rdd-*", recursive=True))
+    before = folders()
+    links = near_duplicate_links(docs.toDF("id", "text"), reps, 80)
+    assert len({x for r in links.collect() for x in r}) == 60
+    assert len(folders() - before) <= 5  # the links, and the votes on pivots
