@@ -111,6 +111,37 @@ def test_partitions(spark):
         partition.overlapping_patches(g, two, pairs, 20, 40)
 
 
+def walked(nodes, edges, seeds, rounds):
+    """Clusters by dense products of the lazy walk."""
+    at = {v: i for i, v in enumerate(nodes)}
+    w = np.zeros((len(nodes), len(nodes)))
+    for a, b, c in edges:
+        w[at[b], at[a]] += c
+    s = w.sum(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.where(w > 0, w / np.sqrt(np.outer(s, s)), 0)
+    x = np.zeros((len(nodes), len(seeds)))
+    for k, v in enumerate(seeds):
+        x[at[v], k] = 1 / np.sqrt(s[at[v]])
+    for _ in range(rounds):
+        x = x / 2 + w @ x / 2
+    return {v: seeds[int(np.round(x[i], 12).argmax())] if x[i].any() else None for i, v in enumerate(nodes)}
+
+
+@pytest.mark.parametrize("most", [10**6, 30])
+def test_diffusion_by_components(spark, monkeypatch, most):
+    """Components in tasks, their seeds in several deals, and a larger one by joins; nothing reaches the last nodes."""
+    rng = np.random.default_rng(2)
+    pairs = {(a, b): float(rng.integers(1, 9)) for k, n in ((0, 30), (100, 12), (200, 5)) for a in range(k, k + n) for b in range(a + 1, k + n) if b == a + 1 or rng.random() < 0.2}
+    edges = [(a, b, w) for (x, y), w in pairs.items() for a, b in ((x, y), (y, x))]
+    nodes, seeds = sorted({a for a, _, _ in edges} | {300}), [0, 3, 7, 11, 20, 29, 101, 104]
+    monkeypatch.setattr(partition, "SEEDS", 4)
+    monkeypatch.setattr(partition, "_by_joins", partition._by_joins if most == 30 else None)
+    g = Graph(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(v,) for v in nodes], "id long"))
+    got = partition.diffusion(g, spark.createDataFrame([(v,) for v in seeds], "id long"), 4, most=most)
+    assert dict(map(tuple, got.collect())) == walked(nodes, edges, seeds, 4)
+
+
 def greedy(nodes, edges, k, load, gamma):
     n, cluster, size = len(nodes), {}, [0] * k
     alpha = len(edges) * k ** (gamma - 1) / n**gamma
