@@ -104,7 +104,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and the columns of ``COUNTS``, a row for each row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(_rows, "id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(K.tidied(_rows), "id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,7 +118,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 got = statistics_of(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], [*part.schema.names, *(f"_q_{c}" for c in COUNTS)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{c}", T.LongType()) for c in COUNTS)]))
+    return docs.mapInArrow(K.tidied(run), T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{c}", T.LongType()) for c in COUNTS)]))
 
 
 def keep_good(docs: DataFrame, rules: list["Rule"], text_col: str = "text") -> DataFrame:

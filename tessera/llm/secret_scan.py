@@ -178,7 +178,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_assign, n_access, n_hex, base_sha256, spans)`` for each document."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(_rows, "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(K.tidied(_rows), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -192,4 +192,4 @@ def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 texts = [t if t is None else masked(t, spans_of(t)) for t in part.column(at).to_pylist()]
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidied(run), docs.schema)

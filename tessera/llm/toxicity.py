@@ -281,7 +281,7 @@ def learn_lexicon(sample: DataFrame) -> list[Entry]:
     if not t or not c:
         return []
     rows, error = sample.select("text", "toxic"), "2.5D * sqrt(1 / (toxic + 0.5D) + 1 / (clean + 0.5D))"
-    counts = rows.mapInArrow(_stem_counts, "form string, toxic long, clean long, toxic_often long, clean_often long, several long")
+    counts = rows.mapInArrow(K.tidied(_stem_counts), "form string, toxic long, clean long, toxic_often long, clean_often long, several long")
     counts = counts.groupBy("form").agg(*(F.sum(k).alias(k) for k in ("toxic", "clean", "toxic_often", "clean_often", "several")))
     counts = counts.withColumn("weight", F.expr(f"ln((toxic_often + 0.5D) / {t_size or 1}) - ln((clean_often + 0.5D) / {c_size or 1}) - {error}"))
     stems = counts.where(f"toxic >= {max(3, t // 200)} and several >= 2 and weight >= {LEAST}D").orderBy(F.desc("weight"), "form").limit(10 * LEXICON).collect()
@@ -290,7 +290,7 @@ def learn_lexicon(sample: DataFrame) -> list[Entry]:
         if len(kept) < LEXICON // 2 and not any(e.form.startswith(r.form) or r.form.startswith(e.form) for e in kept):
             kept.append(Entry(r.form, True, float(r.weight)))
     under = tuple(e.form for e in kept)
-    counts = rows.mapInArrow(_word_counts, "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(K.tidied(_word_counts), "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = counts.withColumn("weight", F.expr(f"ln((toxic + 0.5D) / {t + 1}) - ln((clean + 0.5D) / {c + 1}) - {error}"))
     words = counts.where(f"toxic >= {max(4, t // 200)} and weight >= {LEAST}D").orderBy(F.desc("weight"), "form").limit(10 * LEXICON).collect()
     kept += [Entry(r.form, False, float(r.weight)) for r in words if r.form in under or not r.form.startswith(under)][: LEXICON - len(kept)]
@@ -341,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_
     lexicon = learn_lexicon(sample)
     if not lexicon:
         return Model((), BASE, tuple(PRIOR))
-    got = sample.select("text", "toxic").mapInArrow(_features(lexicon), "whole double, share double, toxic int").toPandas()
+    got = sample.select("text", "toxic").mapInArrow(K.tidied(_features(lexicon)), "whole double, share double, toxic int").toPandas()
     got = got.sort_values(list(got.columns), ignore_index=True)
     base, weights = fit_weights(got[["whole", "share"]].to_numpy(), got.toxic.to_numpy().astype(float))
     return Model(tuple(lexicon), base, tuple(weights))
@@ -359,7 +359,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(grammar, part.column(at).to_pylist()))], [*part.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(K.tidied(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -373,4 +373,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: flo
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(model.scores(grammar, part.column(at).to_pylist()) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidied(run), docs.schema)

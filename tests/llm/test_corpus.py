@@ -5,9 +5,11 @@ import json
 import os
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -799,3 +801,20 @@ def test_links_leave_no_intermediate_checkpoints(spark):
     links = near_duplicate_links(docs.toDF("id", "text"), reps, 80)
     assert len({x for r in links.collect() for x in r}) == 60
     assert len(folders() - before) <= 5  # the links, and the votes on pivots
+
+
+def test_sketches_hold_little_memory():
+    """Workers stay with an executor: hashing and settling take a few tens of MB, whatever comes in a batch."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 30_000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["id", "text"])
+    ids = np.arange(100)
+    common, few = rng.integers(0, 2**63, 20_000, dtype=np.uint64), rng.integers(0, 2**63, (100, 10_000), dtype=np.uint64)
+    rows = pd.DataFrame({"id": ids, "n": 200_000, "gid": 0, "diff": [np.unique(np.concatenate([common, few[i // 2]])).tobytes() for i in ids]})
+    for run, most in ((lambda: list(near_dup._sketches(iter([batch]))), 60 << 20), (lambda: near_dup._settled(99, True)(rows), 90 << 20)):
+        near_dup.K._Powers.known = []
+        tracemalloc.start()
+        got = run()
+        assert tracemalloc.get_traced_memory()[1] < most
+        tracemalloc.stop()
+    assert {(2 * k, 2 * k + 1) for k in range(50)} <= set(zip(got.a, got.b, strict=True))
