@@ -161,6 +161,21 @@ def test_fennel_assigns_isolated_nodes(spark):
     assert {r.id for r in partition.fennel(alone, 3).collect()} == set(nodes)
 
 
+@pytest.mark.parametrize("length", [6, 900])
+def test_fennel_in_shards(spark, length):
+    """More than a task may hold: many components in shards, or blocks of one that is too large; the load is kept."""
+    nodes = list(range(900))
+    pairs = [(a, a + 1) for a in nodes[:-1] if (a + 1) % length]
+    g = Graph(spark.createDataFrame([e for a, b in pairs for e in ((a, b), (b, a))], "src long, dst long"), spark.createDataFrame([(v,) for v in [*nodes, 2000]], "id long"))
+    for k, load in ((5, 1.1), (3, 1.005)):
+        got = {r.id: r.cluster for r in partition.fennel(g, k, load=load, most=400).collect()}
+        sizes = pd.Series(got.values()).value_counts()
+        assert sorted(got) == [*nodes, 2000] and set(sizes.index) == set(range(k)) and sizes.max() <= load * 901 / k
+        assert np.mean([got[a] != got[b] for a, b in pairs]) < 0.35
+    again = partition.fennel(g, 5, start=spark.createDataFrame(list(got.items()), "id long, cluster long"), passes=2, most=400)
+    assert again.count() == 901 and again.groupBy("cluster").count().agg({"count": "max"}).first()[0] <= 1.1 * 901 / 5
+
+
 def hidden_patches(rng, dim=3, n=12, size=60):
     """A path of patches with a hub, each under its own scale, rotation and translation."""
     cloud = rng.normal(size=(n * 44 + 100, dim))
