@@ -135,6 +135,34 @@ def test_bands_hold_their_miss_at_the_threshold():
             assert width * bands <= places and (1 - (percent / 100) ** width) ** bands <= near_dup.MISS
 
 
+def test_near_duplicates_plans_stay_small(spark, monkeypatch):
+    # a round's links in one plan had the driver hold and plan again all of its stages at a time
+    plans = []
+
+    def counted(df, cut=near_dup.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas"))
+        assert plans[-1] <= 1
+        return cut(df)
+
+    monkeypatch.setattr(near_dup, "cut", counted)
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join([*base[: k % 55], "x", *base[k % 55 :]])) for k in range(8)]
+    reps = near_dup.classes_of(near_dup.sketches(frame(spark, docs))).select("id", "n", "regs")
+    groups = spark.range(8).selectExpr("0L as gid", "id")
+    texts = frame(spark, docs).selectExpr("doc_id as id", "text")
+    near_dup.near_duplicate_links(texts, reps, groups=groups).collect()
+    assert 1 in plans
+
+
+def test_driver_hands_back_memory(spark):
+    from tessera.plans import iterate
+
+    said = iterate.trimmed(spark)
+    assert said is None or "rim" in said
+    iterate.release(spark)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dup.near_duplicates(frame(spark, ODD)).collect()
     assert len(got) == len(ODD)
