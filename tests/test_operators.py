@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,20 @@ def test_diffusion_by_components(spark, monkeypatch, most):
     assert dict(map(tuple, got.collect())) == walked(nodes, edges, seeds, 4)
 
 
+def test_diffusion_keeps_no_edges(spark, monkeypatch):
+    """Edges are not written again, and a batch's neighbours of a node travel as one row."""
+    wrote = []
+    monkeypatch.setattr(partition, "kept", lambda df, kept=partition.kept: wrote.extend(df.columns) or kept(df))
+    edges = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 3.0), (2, 1, 3.0)]
+    g = Graph(spark.createDataFrame(edges, "src long, dst long, weight double").coalesce(1))
+    got = partition.diffusion(g, spark.createDataFrame([(0,), (2,)], "id long"), 3)
+    assert dict(map(tuple, got.collect())) == walked([0, 1, 2], edges, [0, 2], 3)
+    assert wrote and "dst" not in wrote
+    batch = pa.RecordBatch.from_pydict({"part": [0, 0, 0], "last": [0, 0, 0], "id": [5, 4, 5], "dst": [4, 5, 6], "weight": [1.0, 2.0, 3.0]})
+    out = [r for b in partition._packed([batch.slice(0, 0), batch]) for r in b.to_pylist()]
+    assert [(r["id"], sorted(zip(r["dst"], r["weight"], strict=True))) for r in out] == [(4, [(5, 2.0)]), (5, [(4, 1.0), (6, 3.0)])]
+
+
 def greedy(nodes, edges, k, load, gamma):
     n, cluster, size = len(nodes), {}, [0] * k
     alpha = len(edges) * k ** (gamma - 1) / n**gamma
